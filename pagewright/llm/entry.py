@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagewright.llm import near_dedup
+from pagewright.llm import bpe, near_dedup
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
 }
 
