@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, near_dedup, outliers
+from pagewright.llm import bpe, license_scan, near_dedup, outliers
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op10_quality_rules": outliers.op10_quality_rules,
 }
 
