@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from pagewright.llm.common import read_table
+from pagewright.llm.common import read_table, with_fields
 
 #: Splits text into words before any merge: the published pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -218,9 +218,7 @@ def encode_documents(documents: DataFrame, path: str, keep_ids: bool = True) ->
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *["tokens"] * keep_ids]
     df = documents.drop(*new)
     names = df.columns
-    schema = df.schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if keep_ids:
-        schema = schema.add("tokens", "array<int>")
+    schema = with_fields(df, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * keep_ids)
 
     def encode(batches):
         run = encoder(path).run

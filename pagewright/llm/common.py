@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java and RE2 spelling of the word class of the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -157,5 +158,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df plus more fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def hash_share(name: str, seed: int, rows: int, bound: int) -> Column:
+    """Keeps about bound of so many rows, by a hash of a column; all of them if there are fewer."""
+    fine = 1 << 20
+    return F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(fine)) < min(fine, int(fine * bound / max(rows, 1)))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str], bound: int, seed: int) -> DataFrame:
+    """documents (doc_id, text, ...) joined with a sample of about bound labelled rows that learning may use.
+
+    Rows whose crc32(doc_id as text) is divisible by 5 are held out and never sampled. A doc_id labelled twice
+    takes the larger label. The sample is bounded, so it is broadcast and the texts stay where they are.
+    """
+    free = labels.filter(F.col("doc_id").isNotNull() & F.col(columns[0]).isNotNull()).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    free = free.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c).alias(c) for c in columns])
+    sample = free.filter(hash_share("doc_id", seed, free.count(), bound))
+    return documents.drop(*columns).join(F.broadcast(sample), "doc_id")

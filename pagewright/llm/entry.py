@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, license_scan, near_dedup, outliers, url_filter
+from pagewright.llm import bpe, license_scan, near_dedup, outliers, quality_model, toxicity, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality": quality_model.op8_quality,
     "op10_quality_rules": outliers.op10_quality_rules,
 }
 
