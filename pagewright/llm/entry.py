@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, license_scan, near_dedup, outliers, quality_model, toxicity, url_filter
+from pagewright.llm import bpe, fingerprint, license_scan, near_dedup, outliers, quality_model, toxicity, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
