@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagewright.llm import bpe, fingerprint, license_scan, near_dedup, outliers, quality_model, toxicity, url_filter
+from pagewright.llm import bpe, fingerprint, license_scan, mixing, near_dedup, outliers, pii, quality_model, toxicity, url_filter
 
 QUERIES = {
+    "op1_mix": mixing.op1_mix,
     "op2_bpe": bpe.op2_bpe,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_fingerprint": fingerprint.op4_fingerprint,
@@ -12,10 +13,12 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality_model.op8_quality,
+    "op9_pii": pii.op9_pii,
     "op10_quality_rules": outliers.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op1_mix": mixing.ORACLE,
     "op3_near_dedup": near_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
 }
