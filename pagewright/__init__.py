@@ -1,0 +1 @@
+"""Declarative search, filtering, sorting and paging over Spark tables."""
