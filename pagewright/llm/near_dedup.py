@@ -8,8 +8,8 @@ that rises with their likeness, so registers can be banded.
 Links are found in two rounds, and no group is ever expanded into all its pairs:
 
 1. in each bucket of each band every class meets one hub of the bucket (another in each band);
-2. in each bucket whose other members still lie in different components, sketches are compared in blocks, and
-   only pairs that the likelihood leaves open are handed on.
+2. in each bucket whose other members still lie in different components, sketches are compared in blocks; the
+   classes with a partner that the likelihood leaves open bring their full sets to the block, which settles them.
 
 Pairs are kept if the joint likelihood of both sketches, at the known set sizes, does not rule the threshold out,
 and are then confirmed on the full sets. Connected components of the confirmed links are the result.
@@ -123,14 +123,20 @@ def _plausible(batches):
 
 
 def _blockwise(batches):
-    """Open pairs within each block of a bucket, across components; each pair only in the first band that it shares."""
+    """For each class of a block with an open partner in another component: a row with its partners.
+
+    A pair counts only in the first band that it shares, so it is looked at once. Partners are lists, at most
+    BLOCK long; classes that are only a partner get a row with an empty list.
+    """
     for block in grouped(batches, "block_key"):
         rep, comp, n, band, side = (block.column(k).to_numpy() for k in ("rep", "component", "n_shingles", "band", "side"))
         regs = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(len(rep), BANDS, ROWS)
-        left = np.flatnonzero(side == 0) if (side != side[0]).any() else np.arange(len(rep))
-        right = np.flatnonzero(side == 1) if (side != side[0]).any() else left
+        two = bool((side != side[0]).any())
+        left = np.flatnonzero(side == 0) if two else np.arange(len(rep))
+        right = np.flatnonzero(side == 1) if two else left
+        partners: dict[int, list[int]] = {}
         for i in left:
-            js = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if right is left else (rep[right] != rep[i]))]
+            js = right[(comp[right] != comp[i]) & ((rep[right] != rep[i]) if two else (rep[right] > rep[i]))]
             js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
             if not len(js):
                 continue
@@ -141,8 +147,37 @@ def _blockwise(batches):
             flat = regs[js].reshape(len(js), -1)
             js = js[likely(flat, np.broadcast_to(regs[i].reshape(-1), flat.shape), n[js], np.full(len(js), n[i]))]
             if len(js):
-                pair = np.sort(np.stack([np.full(len(js), rep[i]), rep[js]]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+                partners.setdefault(i, []).extend(rep[js].tolist())
+                for j in js:
+                    partners.setdefault(j, [])
+        if partners:
+            rows = sorted(partners)
+            keys = block.column("block_key").to_numpy()[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[rows]), pa.array(comp[rows]), pa.array([partners[k] for k in rows], pa.list_(pa.int64()))], ["block_key", "rep", "component", "partners"])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum())
+
+
+def _block_links(batches):
+    """Confirmed links of the open pairs of each block: one for each class and component that it links to."""
+    for block in grouped(batches, "block_key"):
+        reps, comps = block.column("rep").to_pylist(), dict(zip(block.column("rep").to_pylist(), block.column("component").to_pylist(), strict=True))
+        sets = {r: np.frombuffer(x.as_buffer(), np.uint64) for r, x in zip(reps, block.column("shingles"), strict=True)}
+        a, b = [], []
+        for r, partners in zip(reps, block.column("partners").to_pylist(), strict=True):
+            reached = set()
+            for q in partners:
+                if q in sets and comps[q] not in reached:
+                    both = _common(sets[r], sets[q])
+                    if 100 * both >= PERCENT * (len(sets[r]) + len(sets[q]) - both):
+                        reached.add(comps[q])
+                        a.append(r)
+                        b.append(q)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _verified(batches):
@@ -150,17 +185,19 @@ def _verified(batches):
         keep = []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
+            both = _common(x, y)
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents in wanted (doc_id); only these are shingled again and moved."""
+    return settle(documents.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
+
+
 def _confirm(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets meet the threshold; only documents in a pair are shingled and moved."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = settle(documents.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
+    """The pairs whose full shingle sets meet the threshold."""
+    sets = _sets_of(documents, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     one, other = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b"))
     return pairs.join(one, "a").join(other, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long")
 
@@ -186,16 +223,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     banded = _bands(classes)
     order = F.struct(F.xxhash64("rep", "band").alias("by"), F.col("rep").alias("hub"))
-    hubs = banded.groupBy("bucket").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1").select("bucket", F.col("first.hub").alias("hub"))
-    pairs = banded.join(hubs, "bucket").filter("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    hubs = banded.groupBy("bucket").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1").select("bucket", "members", F.col("first.hub").alias("hub"))
+    shared = settle(banded.join(hubs, "bucket").filter("rep != hub"))
+    pairs = shared.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     sized = {k: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b")}
     pairs = settle(pairs.join(sized["a"], "a").join(sized["b"], "b").mapInArrow(_plausible, "a long, b long").distinct())
     links = settle(_confirm(texts, pairs).unionByName(_same_document(rows, classes)))
 
     joined = connected_components(links, "a", "b")
     placed = settle(classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n_shingles", "sketch", F.coalesce("component", "rep").alias("component")))
-    open_pairs = settle(_open_pairs(placed))
-    more = settle(_confirm(texts, open_pairs))
+    more = settle(_links_between(shared, placed, texts))
     if not more.isEmpty():
         joined = connected_components(links.unionByName(more), "a", "b")
 
@@ -217,19 +254,25 @@ def _labelled(rows: DataFrame, within: DataFrame, joined: DataFrame) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _open_pairs(placed: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a band, did not meet a hub there, and may be alike."""
-    banded = _bands(placed, "component")
-    order = F.struct(F.xxhash64("rep", "band").alias("by"), F.col("rep").alias("hub"))
-    hubs = banded.groupBy("bucket").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 2").select("bucket", F.col("first.hub").alias("hub"), "members")
-    mixed = banded.join(hubs, "bucket").filter("rep != hub").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("members").alias("members")).filter("lo != hi")
-    members = banded.join(mixed.select("bucket", "members"), "bucket").select("rep", "band", "bucket", "members")
+def _links_between(shared: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components among the members of a bucket besides its hub.
+
+    shared has the members (rep, band, bucket, members, hub) without the hubs themselves. A bucket of m members
+    is cut into m / BLOCK chunks and each two chunks meet in one block, so a row is copied m / BLOCK times, and no
+    task holds more than two chunks.
+    """
+    held = shared.filter("members > 2").select("rep", "band", "bucket", "members").join(placed.select("rep", "component"), "rep")
+    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), chunks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(k >= F.col("own"), 0).otherwise(1).alias("side")))
-    members = members.withColumn("own", own).select("rep", "band", "bucket", F.explode(cells).alias("cell")).select("rep", "band", F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.when(F.col("cell.i") == F.col("cell.j"), 0).otherwise(F.col("cell.side")).alias("side"))
-    full = members.join(placed, "rep")
-    return full.repartition("block_key").sortWithinPartitions("block_key").select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(_blockwise, "a long, b long").distinct()
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(k >= F.col("own"), 0).otherwise(1).alias("side")))
+    members = held.join(mixed, "bucket", "left_semi").withColumn("chunks", chunks).withColumn("own", own).select("rep", "band", "bucket", F.explode(cells).alias("cell"))
+    members = members.select("rep", "band", F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side"))
+    blocks = members.join(placed, "rep").repartition("block_key").sortWithinPartitions("block_key")
+    found = settle(blocks.select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(_blockwise, "block_key long, rep long, component long, partners array<long>"))
+    sets = _sets_of(texts, found.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    ready = found.join(sets, "rep").repartition("block_key").sortWithinPartitions("block_key")
+    return ready.select("block_key", "rep", "component", "partners", "shingles").mapInArrow(_block_links, "a long, b long").distinct()
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
