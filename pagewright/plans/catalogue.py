@@ -209,7 +209,7 @@ def _composite_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _page_of(ranked, 50, 0)
 
 
-TERM = "green"
+TERM = "widget"
 
 
 def _words_sql(text: str) -> str:
@@ -240,16 +240,15 @@ def terms_sql(table: str, key: str, text: str, terms: Sequence[str], weight: flo
 
 
 SIM = similarity_sql("part", "p_partkey", "p_name", TERM)
-NAMES = "list_transform"
 KNN_SOURCE = "(select e.vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q where {where})"
 RRF = """(with t as (select p_partkey, row_number() over (order by score, p_partkey) as r from {tri} order by r limit {depth}),
  f as (select p_partkey, row_number() over (order by score desc, p_partkey) as r from {ft} order by r limit {depth})
  select p_partkey, sum(part) as score from (select p_partkey, {wt} * 1.0::double / (60 + r) as part from t union all select p_partkey, {wf} * 1.0::double / (60 + r) from f) group by p_partkey)"""
 
 
-def _hybrid_sql(wt: float, wf: float, tri: str, limit: int = 20) -> str:
-    ft = terms_sql("part", "p_partkey", "p_type", ["t3"], 1.0 if wf >= 2 else 0.4)
-    return page_sql(RRF.format(tri=tri, ft=ft, depth=limit * 5, wt=wt, wf=wf), "p_partkey", True, limit)
+def _hybrid_sql(weights: tuple[float, float], label_weight: float, least: float = 0.35, limit: int = 20) -> str:
+    tri, ft = similarity_sql("part", "p_partkey", "p_name", "small", least), terms_sql("part", "p_partkey", "p_type", ["small"], label_weight)
+    return page_sql(RRF.format(tri=tri, ft=ft, depth=limit * 5, wt=weights[0], wf=weights[1]), "p_partkey", True, limit)
 
 
 def _eq(field: str, value: str) -> Filter:
@@ -291,7 +290,7 @@ _add("keyset_composite", keyset(CONVERSATION, ["role"], anchor={"conv_id": 10, "
 
 _add("trigram_direct", searched(PART, TERM), page_sql(SIM, "p_partkey"))
 _add("trigram_page_2", searched(PART, TERM, 10, 10), page_sql(SIM, "p_partkey", limit=10, offset=10))
-_add("trigram_typo", searched(PART, "gren", minimum_similarity=0.5), page_sql(similarity_sql("part", "p_partkey", "p_name", "gren", 0.5), "p_partkey"))
+_add("trigram_typo", searched(PART, "wigdet", minimum_similarity=0.4), page_sql(similarity_sql("part", "p_partkey", "p_name", "wigdet", 0.4), "p_partkey"))
 _two = Entity("part", ("p_partkey",), (Searchable("p_name"), Searchable("p_type")))
 _brand = similarity_sql("part", "p_partkey", "p_type", TERM)
 _add("trigram_multi_field", searched(_two, TERM), page_sql(f"(select p_partkey, min(score) as score from (select * from {SIM} union all select * from {_brand}) group by p_partkey)", "p_partkey"))
@@ -349,9 +348,10 @@ _add("ft_weighted", searched(DOCUMENT_WEIGHTED, "src3 or license"))
 _english = Entity("documents", ("doc_id",), (Searchable("text", Backend.FULL_TEXT, config="english"),))
 _add("ft_english", searched(_english, "licensed versions"))
 
-_add("hybrid_rrf", searched(Entity("part", ("p_partkey",), (Searchable("p_name"), Searchable("p_type", Backend.FULL_TEXT, 1.0))), "t3", 20, hybrid=HybridOptions(), minimum_similarity=0.35))
-_add("hybrid_weighted", searched(HYBRID, "green", 20, hybrid=HybridOptions()))
-_add("hybrid_threshold", searched(HYBRID_STRICT, "green", 20, hybrid=HybridOptions()))
+_plain = Entity("part", ("p_partkey",), (Searchable("p_name"), Searchable("p_type", Backend.FULL_TEXT, 1.0)))
+_add("hybrid_rrf", searched(_plain, "small", 20, hybrid=HybridOptions()), _hybrid_sql((1.0, 1.0), 0.4))
+_add("hybrid_weighted", searched(HYBRID, "small", 20, hybrid=HybridOptions()), _hybrid_sql((1.0, 2.0), 1.0))
+_add("hybrid_threshold", searched(HYBRID_STRICT, "small", 20, hybrid=HybridOptions()), _hybrid_sql((1.0, 1.0), 0.4, 0.8))
 
 _add("owner_resolution", _owner_resolution, "select distinct o_custkey as c_custkey from orders join lineitem on l_orderkey = o_orderkey where l_partkey between 1 and 20")
 _composed_sql = "select c_custkey, array_to_string(list_concat(list_transform(a, lambda w, i: w || ':' || i || ':C'), list_transform(b, lambda w, i: w || ':' || (i + len(a)) || ':A')), ' ') as tokens from (select c_custkey, {a} as a, {b} as b from customer join nation on n_nationkey = c_nationkey)"
