@@ -101,7 +101,9 @@ def composed_tokens(tables: Tables, base: DataFrame, key: Sequence[str], group:
             branch = _branch(tables, base, key, p.hops, p.column, with_where).withColumnRenamed("value", name)
             df = df.join(branch, list(key), "left")
         columns.append(fulltext.tokens(F.col(name), p.searchable.config or group.config, weight_label(p.searchable.weight)))
-    return df.select(*key, fulltext.joined(columns).alias(group.name))
+    # tokens are columns before they are joined, as stemming may not stand inside a lambda
+    parts = df.select(*key, *[c.alias(f"_t{k}") for k, c in enumerate(columns)])
+    return parts.select(*key, fulltext.joined([F.col(f"_t{k}") for k in range(len(columns))]).alias(group.name))
 
 
 def text_definition(group: TextGroup) -> str:
