@@ -261,7 +261,9 @@ def _links_between(shared: DataFrame, placed: DataFrame, texts: DataFrame) -> Da
     is cut into m / BLOCK chunks and each two chunks meet in one block, so a row is copied m / BLOCK times, and no
     task holds more than two chunks.
     """
-    held = shared.filter("members > 2").select("rep", "band", "bucket", "members").join(placed.select("rep", "component"), "rep")
+    # a class is in at most BANDS buckets, so its component is joined once to the list of them
+    lists = shared.filter("members > 2").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "members")).alias("at"))
+    held = lists.join(placed.select("rep", "component"), "rep").select("rep", "component", F.explode("at").alias("x")).select("rep", "component", "x.*")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
