@@ -29,7 +29,7 @@ LEAST_TEXTS, LEAST_LIFT = 4, 4.0
 FOLDS, STEPS, RATE, RIDGE = 5, 150, 0.5, 1e-4
 MOST_LANGUAGES = 8
 #: Toxic from this probability on.
-ACCEPT = 0.5
+ACCEPT = 0.3
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
