@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pagewright import cursor
 from pagewright.errors import InvalidCursor, QueryError
 from pagewright.functions import trigram
+from pagewright.functions.vector import centroids
 from pagewright.model import Backend, CursorPage, Entity, Mode, OffsetPage, PagedQuery, Registry, Tables
 from pagewright.operators import paging
 from pagewright.operators.joins import restrict
 from pagewright.operators.predicates import apply_filters, check_filters, restrict_fields
 from pagewright.plans.ranking import Arm, HybridOptions, Ranked, TextOptions, arm_depth, fulltext_search, fuse, route, trigram_search, vector_search
 from pagewright.sources.embeddings import EmbeddingProvider
-from pagewright.sources.index import IndexStore, check_vector, composed_tokens, embedded_vectors, text_definition, vector_definition
+from pagewright.sources.index import IndexStore, check_vector, composed_tokens, embedded_vectors, probed, text_definition, vector_definition, with_cells
 
 log = logging.getLogger("pagewright")
 
@@ -35,6 +36,9 @@ class Options:
     hybrid: HybridOptions | None = None
     provider: EmbeddingProvider | None = None
     index_joined_where: bool = False
+    #: Cells of a coarse vector index (0: none), and how many a search reads (0: all, which is exact).
+    vector_cells: int = 0
+    probes: int = 0
 
 
 class Engine:
@@ -100,8 +104,9 @@ class Engine:
             return fulltext_search(index, key, groups, query.term, self.options.text, threshold)
         provider = self._provider()
         group = entity.vector_groups[0]
-        index = self._vector_index(entity, rows, narrowed, provider)
-        return vector_search(index, key, group.name, provider.embed(query.term), threshold)
+        wanted = provider.embed(query.term)
+        index = self._vector_index(entity, rows, narrowed, provider, wanted)
+        return vector_search(index, key, group.name, wanted, threshold)
 
     def _provider(self) -> EmbeddingProvider:
         if self.options.provider is None:
@@ -117,14 +122,14 @@ class Engine:
         index = reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
         return index.join(rows.select(*key), key, "left_semi") if narrowed else index
 
-    def _vector_index(self, entity: Entity, rows: DataFrame, narrowed: bool, provider: EmbeddingProvider) -> DataFrame:
+    def _vector_index(self, entity: Entity, rows: DataFrame, narrowed: bool, provider: EmbeddingProvider, wanted: Sequence[float]) -> DataFrame:
         group = entity.vector_groups[0]
         if self.store is None:
             if dict(rows.dtypes).get(group.source.column, "").startswith("array"):
                 return rows.select(*entity.key_columns, F.col(group.source.column).alias(group.name))
             return embedded_vectors(rows, entity, group, provider)
-        check_vector(self.store.manifest(entity, "vector", group.name), group, provider)
-        index = self.store.read(entity, "vector", group.name)
+        manifest = check_vector(self.store.manifest(entity, "vector", group.name), group, provider)
+        index = probed(self.store.read(entity, "vector", group.name), manifest, wanted, self.options.probes)
         return index.join(rows.select(*entity.key_columns), list(entity.key_columns), "left_semi") if narrowed else index
 
     def _hybrid(self, entity: Entity, query: PagedQuery, base: DataFrame, offset: int, limit: int) -> Ranked:
@@ -214,7 +219,12 @@ class Engine:
         for g in entity.vector_groups if kind in (None, "vector") else ():
             if groups is None or g.name in groups:
                 provider = self._provider()
-                self.store.publish(entity, "vector", g.name, embedded_vectors(base, entity, g, provider), model=provider.model_id, dims=g.dims, definition=vector_definition(g.source))
+                rows, cells = embedded_vectors(base, entity, g, provider), None
+                if self.options.vector_cells:
+                    cells = centroids(rows, g.name, self.options.vector_cells)
+                    rows = with_cells(rows, g.name, cells) if len(cells) else rows
+                facts = dict(model=provider.model_id, dims=g.dims, definition=vector_definition(g.source))
+                self.store.publish(entity, "vector", g.name, rows, centers=cells.tolist() if cells is not None and len(cells) else None, **facts)
                 done.append(f"vector:{g.name}")
         return done
 

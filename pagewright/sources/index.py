@@ -10,18 +10,23 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.errors import IndexNotReady
 from pagewright.functions import fulltext
+from pagewright.functions.vector import nearest_center
 from pagewright.model import Entity, Hop, SearchPath, Tables, TextGroup, VectorGroup, weight_label
 from pagewright.operators.joins import along
 from pagewright.sources.embeddings import EmbeddingProvider, embedded
 
 
+#: Partition column of a coarse vector index.
+CELL = "cell"
+
+
 @dataclass(frozen=True)
 class Manifest:
     entity: str
@@ -35,6 +40,7 @@ class Manifest:
     definition: str = ""
     status: str = "active"
     key: list[str] = field(default_factory=list)
+    centers: list[list[float]] | None = None
 
 
 class Files:
@@ -121,6 +127,19 @@ def embedded_vectors(base: DataFrame, entity: Entity, group: VectorGroup, provid
     return base.select(*entity.key_columns, embedded(F.col(source).cast("string"), provider).alias(group.name))
 
 
+def with_cells(rows: DataFrame, group: str, centers: np.ndarray) -> DataFrame:
+    """Vectors with the cell of their nearest centroid, by which a coarse index is partitioned; -1 for none."""
+    return rows.withColumn(CELL, F.coalesce(nearest_center(F.col(group), centers), F.lit(-1)))
+
+
+def probed(index: DataFrame, manifest: Manifest, query: Sequence[float], probes: int) -> DataFrame:
+    """The cells nearest to a query: other partitions are not read. Without a coarse index, or without probes, everything."""
+    if not manifest.centers or not probes:
+        return index
+    near = np.argsort(-(np.array(manifest.centers) @ np.asarray(query, np.float64)), kind="stable")[:probes]
+    return index.filter(F.col(CELL).isin([int(k) for k in near]))
+
+
 def vector_definition(path: SearchPath) -> str:
     return json.dumps([path.column, path.searchable.embedding_source, path.searchable.dims])
 
@@ -165,7 +184,8 @@ class IndexStore:
         folder, old = self._folder(entity, kind, group), self.manifest(entity, kind, group)
         version = (old.version if old else 0) + 1
         path = f"{folder}/v{version}"
-        rows.write.mode("overwrite").parquet(path)
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(CELL) if CELL in rows.columns else writer).parquet(path)
         new = Manifest(entity.table, group, kind, version, path, key=list(entity.key_columns), **facts)
         self.files.write(f"{folder}/manifest.json", json.dumps(asdict(new)))
         if old and not keep_old:
@@ -182,7 +202,9 @@ class IndexStore:
             raise IndexNotReady(f"{kind} group {group!r} of {entity.table} has no index; reindex it")
         key = list(entity.key_columns)
         kept = self.spark.read.parquet(old.path).join(owners.select(*key), key, "left_anti").join(base.select(*key), key, "left_semi")
-        facts = {k: getattr(old, k) for k in ("config", "model", "dims", "definition")}
+        facts = {k: getattr(old, k) for k in ("config", "model", "dims", "definition", "centers")}
+        if old.centers:
+            fresh = with_cells(fresh, group, np.array(old.centers))
         return self.publish(entity, kind, group, kept.unionByName(fresh), **facts)
 
 
@@ -219,7 +241,3 @@ def plan_changes(store: IndexStore, entity: Entity) -> list[Change]:
                 out.append(Change("create", kind, name))
         out += [Change("drop", kind, name) for name in sorted(have - set(wanted) - renamed)]
     return out
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

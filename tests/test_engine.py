@@ -194,6 +194,21 @@ def test_vector_and_guards(spark, tmp_path):
         find(Engine(spark, engine.tables, engine.registry, Options(), engine.store), entity, search="two")
 
 
+def test_coarse_vector_index(spark, tmp_path):
+    entity = Entity("v", ("id",), (Searchable("body", Backend.VECTOR, dims=16),))
+    table = spark.createDataFrame([(k, f"text {k}") for k in range(300)] + [(999, None)], "id long, body string")
+    exact = Options(provider=HashEmbedding(16), vector_cells=8)
+    engine = Engine(spark, frames({"v": table}), Registry(entity), exact, IndexStore(spark, str(tmp_path)))
+    engine.reindex(entity)
+    near = Engine(spark, engine.tables, engine.registry, Options(provider=HashEmbedding(16), vector_cells=8, probes=4), engine.store)
+    wanted = [r["id"] for r in find(engine, entity, search="text 7", limit=10).items.collect()]
+    got = find(near, entity, search="text 7", limit=10)
+    assert wanted[0] == 7 and got.items.first()["id"] == 7 and got.total < 300
+    assert len(set(wanted) & {r["id"] for r in got.items.collect()}) >= 5
+    engine.refresh(entity, table.filter("id < 3"))
+    assert find(engine, entity, search="text 7").total == 300
+
+
 def test_zero_vectors_do_not_match(spark):
     entity = Entity("v", ("id",), (Searchable("e", Backend.VECTOR, dims=2),))
     table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [2.0, 0.0])], "id long, e array<float>")
