@@ -230,6 +230,16 @@ def hits(column: Column, query: Query) -> Column:
     return F.filter(column, lambda t: reduce(lambda a, b: a | b, [_is(t["lexeme"], x) for x in terms]))
 
 
+def possible(texts: Sequence[Column], query: Query) -> Column:
+    """A filter that every match of unstemmed texts passes: the substrings are there. It spares the rest the tokenizer."""
+    if isinstance(query, Term):
+        return reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(t.cast("string"), F.lit(""))), F.lit(query.lexeme)) for t in texts])
+    if isinstance(query, Not):
+        return F.lit(True)
+    parts = [possible(texts, p) for p in (query.terms if isinstance(query, Phrase) else query.parts)]
+    return reduce((lambda a, b: a | b) if isinstance(query, Or) else (lambda a, b: a & b), parts)
+
+
 def _phrase_in(found: Column, phrase: Phrase) -> Column:
     """Whether some token of the first term has the others at their distances."""
 

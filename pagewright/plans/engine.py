@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright import cursor
 from pagewright.errors import InvalidCursor, QueryError
-from pagewright.functions import trigram
+from pagewright.functions import fulltext, trigram
 from pagewright.functions.vector import centroids
 from pagewright.model import Backend, CursorPage, Entity, Mode, OffsetPage, PagedQuery, Registry, Tables
 from pagewright.operators import paging
@@ -99,7 +99,7 @@ class Engine:
             return trigram_search(self.tables, rows, key, paths, query.term, 1 - self.options.minimum_similarity if threshold is None else threshold)
         narrowed = bool(query.filters) or query.candidates is not None
         if backend is Backend.FULL_TEXT:
-            index = self._text_index(entity, rows, narrowed)
+            index = self._text_index(entity, rows, narrowed, query.term)
             groups = [(g.name, g.config) for g in entity.text_groups]
             return fulltext_search(index, key, groups, query.term, self.options.text, threshold)
         provider = self._provider()
@@ -113,15 +113,27 @@ class Engine:
             raise QueryError("vector search needs an embedding provider")
         return self.options.provider
 
-    def _text_index(self, entity: Entity, rows: DataFrame, narrowed: bool) -> DataFrame:
+    def _text_index(self, entity: Entity, rows: DataFrame, narrowed: bool, term: str) -> DataFrame:
         key = list(entity.key_columns)
         if self.store is None:
+            rows = self._able(entity, rows, term)
             parts = [composed_tokens(self.tables, rows, key, g, self.options.index_joined_where) for g in entity.text_groups]
             return reduce(lambda a, b: a.join(b, key), parts)
         parts = [self.store.read(entity, "fulltext", g.name) for g in entity.text_groups]
         index = reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
         return index.join(rows.select(*key), key, "left_semi") if narrowed else index
 
+    def _able(self, entity: Entity, rows: DataFrame, term: str) -> DataFrame:
+        """Without an index, only rows whose own texts may match are tokenized; joined or stemmed texts cannot be told beforehand."""
+        paths = [(g, p) for g in entity.text_groups for p in g.paths]
+        if any(p.hops or (p.searchable.config or g.config) != "simple" for g, p in paths):
+            return rows
+        wanted = fulltext.parse(term, self.options.text.parser)
+        if wanted is None:
+            return rows.limit(0)
+        terms = [fulltext.possible([F.col(p.column) for p in g.paths], wanted) for g in entity.text_groups]
+        return rows.filter(reduce(lambda a, b: a | b, terms))
+
     def _vector_index(self, entity: Entity, rows: DataFrame, narrowed: bool, provider: EmbeddingProvider, wanted: Sequence[float]) -> DataFrame:
         group = entity.vector_groups[0]
         if self.store is None:
