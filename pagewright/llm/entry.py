@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mix": mixing.ORACLE,
     "op3_near_dedup": near_dedup.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
 }

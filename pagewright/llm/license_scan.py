@@ -160,3 +160,30 @@ def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templa
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("matches")
+
+
+def _oracle() -> str:
+    """The same rows by brute force: every place of every phrase, every line against every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split(' '))}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', {quoted(sorted(set(text.split(' '))))}, {math.ceil(THRESHOLD * len(set(text.split(' '))) - 1e-9)})" for k, (label, text) in enumerate(TEMPLATES))
+    split = r"list_filter(string_split_regex({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '')"
+    return f"""
+with texts as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+words as (select doc_id, t, {split.format(t="t")} as w from texts),
+phrases(p, label) as (values {phrases}),
+places as (select doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) as place from words, phrases),
+templates(k, label, words, need) as (values {templates}),
+blocks as (select doc_id, unnest(string_split(t, chr(10))) as block from texts),
+tokens as (select doc_id, {split.format(t="block")} as b from blocks where contains(block, ' ')),
+found as (select doc_id, label, len(list_intersect(words, b)) / len(words) as containment from tokens, templates where len(list_intersect(words, b)) >= need),
+base as (select doc_id, count(*) as n, min(place) as lo, max(place) as hi, string_agg(distinct label, ',' order by label) as labels from places group by doc_id),
+every as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from places union all select doc_id, label from found) group by doc_id),
+best as (select doc_id, max(containment) as score from found group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, lo::bigint as first_word, hi::bigint as last_word,
+       coalesce(base.labels, '') as base_labels, coalesce(every.labels, '') as labels, case when n > 0 then 1.0 else coalesce(score, 0) end::double as score
+from words w left join base on base.doc_id = w.doc_id left join every on every.doc_id = w.doc_id left join best on best.doc_id = w.doc_id
+"""
+
+
+ORACLE = _oracle()
