@@ -75,12 +75,15 @@ def may_match(column: Column, term: str, least: float) -> Column:
 
 
 def distance(column: Column, term: str, greatest: float) -> Column:
-    """1 - word similarity where that is at most greatest, else null; only texts that may match reach Python."""
+    """1 - word similarity where that is at most greatest, else null; texts that cannot match go to Python as null.
+
+    Declared non-deterministic, which it is not, so that a filter on the result does not run it a second time.
+    """
     wanted, least = frozenset(trigrams(term)), max(0.0, 1.0 - greatest)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        known: dict[str, float] = {}
+        known: dict[str, float | None] = {}
 
         def one(text: str | None) -> float | None:
             if text is None:
@@ -88,12 +91,11 @@ def distance(column: Column, term: str, greatest: float) -> Column:
             if text not in known:
                 if len(known) > 100_000:
                     known.clear()
-                known[text] = 1.0 - best_match(wanted, trigrams(text), least)
+                found = 1.0 - best_match(wanted, trigrams(text), least)
+                known[text] = found if found <= greatest + 1e-12 else None
             return known[text]
 
         return texts.map(one).astype("float64")
 
     text = column.cast("string")
-    kept = F.when(may_match(text, term, least), text)
-    value = score(kept)
-    return F.when(kept.isNotNull() & (value <= greatest + 1e-12), value)
+    return score.asNondeterministic()(F.when(may_match(text, term, least), text))

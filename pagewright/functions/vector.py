@@ -23,7 +23,10 @@ def vector_text(values: Sequence[float]) -> str:
 
 
 def cosine_distance(column: Column, query: Sequence[float]) -> Column:
-    """1 - cosine in double precision; null for null, for another length, and where a norm is zero."""
+    """1 - cosine in double precision; null for null, for another length, and where a norm is zero.
+
+    Declared non-deterministic, which it is not, so that a filter on the result does not run it a second time.
+    """
     q = np.asarray(query, np.float64)
     norm = float(np.sqrt(q @ q))
 
@@ -39,7 +42,7 @@ def cosine_distance(column: Column, query: Sequence[float]) -> Column:
                 out[fits] = np.where(lengths > 0, 1.0 - (x @ q) / (lengths * norm), np.nan)
         return pa.array(out, mask=np.isnan(out))
 
-    return score(column)
+    return score.asNondeterministic()(column)
 
 
 def centroids(df: DataFrame, column: str, k: int, sample: int = 20_000, rounds: int = 12, seed: int = 1) -> np.ndarray:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright import cursor
-from pagewright.functions import fulltext
 from pagewright.model import Backend, Entity, Filter, Join, Mode, Op, PagedQuery, Parser, Registry, Searchable, Sort
 from pagewright.operators import paging
 from pagewright.operators.joins import owners_of
@@ -290,7 +289,7 @@ _add("keyset_composite", keyset(CONVERSATION, ["role"], anchor={"conv_id": 10, "
 
 _add("trigram_direct", searched(PART, TERM), page_sql(SIM, "p_partkey"))
 _add("trigram_page_2", searched(PART, TERM, 10, 10), page_sql(SIM, "p_partkey", limit=10, offset=10))
-_add("trigram_typo", searched(PART, "wigdet", minimum_similarity=0.4), page_sql(similarity_sql("part", "p_partkey", "p_name", "wigdet", 0.4), "p_partkey"))
+_add("trigram_typo", searched(PART, "wdget", minimum_similarity=0.4), page_sql(similarity_sql("part", "p_partkey", "p_name", "wdget", 0.4), "p_partkey"))
 _two = Entity("part", ("p_partkey",), (Searchable("p_name"), Searchable("p_type")))
 _brand = similarity_sql("part", "p_partkey", "p_type", TERM)
 _add("trigram_multi_field", searched(_two, TERM), page_sql(f"(select p_partkey, min(score) as score from (select * from {SIM} union all select * from {_brand}) group by p_partkey)", "p_partkey"))
@@ -383,4 +382,3 @@ def cursor_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _add("cursor_round_trip", cursor_tokens, "select n_nationkey, n_name from nation")
-CONFIGS = fulltext.CONFIGS

@@ -53,11 +53,13 @@ def trigram_search(tables: Tables, base: DataFrame, key: Sequence[str], paths: S
     own = [p for p in paths if not p.hops]
     if own:
         scores = [trigram.distance(F.col(p.column), term, greatest) for p in own]
-        arms.append(base.select(*key, (F.least(*scores) if len(scores) > 1 else scores[0]).alias("score")).filter("score is not null"))
+        able = reduce(lambda a, b: a | b, [trigram.may_match(F.col(p.column).cast("string"), term, 1 - greatest) for p in own])
+        arms.append(base.filter(able).select(*key, (F.least(*scores) if len(scores) > 1 else scores[0]).alias("score")).filter("score is not null"))
     for p in paths:
         if p.hops:
             # texts are scored per joined row and reduced to the best per owner; unmatched rows never shuffle again
             joined = along(tables, base, key, p.hops, p.column)
+            joined = joined.filter(trigram.may_match(F.col("value").cast("string"), term, 1 - greatest))
             arms.append(joined.select(*key, trigram.distance(F.col("value"), term, greatest).alias("score")).filter("score is not null"))
     if not arms:
         return Ranked(base.select(*key, F.lit(0.0).alias("score")).limit(0), key, False)
@@ -75,7 +77,9 @@ def fulltext_search(index: DataFrame, key: Sequence[str], groups: Sequence[tuple
     used = [(column, queries[config]) for column, config in groups if queries[config] is not None]
     if not used:
         return Ranked(index.select(*key, F.lit(0.0).alias("score")).limit(0), key, True)
-    hit = index.select(*key, *[fulltext.hits(F.coalesce(F.col(c), F.array().cast(fulltext.TOKENS)), q).alias(f"_h{k}") for k, (c, q) in enumerate(used)])
+    hits = [fulltext.hits(F.coalesce(F.col(c), F.array().cast(fulltext.TOKENS)), q).alias(f"_h{k}") for k, (c, q) in enumerate(used)]
+    # the explode of one element keeps the filter below from being pushed under the projection, which would tokenize once per term
+    hit = index.select(*key, F.explode(F.array(F.struct(*hits))).alias("_hits")).select(*key, "_hits.*")
     found = hit.filter(reduce(lambda a, b: a | b, [fulltext.matches(F.col(f"_h{k}"), q) for k, (_, q) in enumerate(used)]))
     ranks = [F.coalesce(fulltext.rank(F.col(f"_h{k}"), q), F.lit(0.0)) for k, (_, q) in enumerate(used)]
     score = ranks[0] if len(ranks) == 1 else reduce(lambda a, b: a + b, ranks) if options.combine_by_sum else F.greatest(*ranks)
