@@ -3,7 +3,7 @@
 What is found and validated is permuted within its own format: a card number becomes another card number that
 passes its check digit, a date another date, an address another address of the same shape. The permutation
 depends on the key, the kind and the format only, so equal values get equal pseudonyms in all documents and stay
-linked, and whoever has the key can go back (restore).
+linked, and whoever has the key can go back (back=True).
 """
 
 from __future__ import annotations
