@@ -32,6 +32,8 @@ FLOORS = (0.25, 0.25, 0.12)
 STEPS = 4
 #: Squared Mahalanobis distance beyond which a row is rejected.
 CUTOFF = 90.0
+#: Groups up to which their estimates are broadcast; beyond, rows are joined by a shuffle.
+MOST_BROADCAST = 50_000
 #: Histogram bins: BINS_PER_UNIT to each power of e of the squared distance.
 BINS_PER_UNIT = 64
 
@@ -120,18 +122,19 @@ def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _measured(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """rows plus distance. Estimates are one row a group; up to MOST_BROADCAST of them are broadcast, so hot groups stay where they are."""
     cov = [[F.col(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
-    # a null language or source is a group of its own: keys are made non-null before
+    fit = F.broadcast(fit) if fit.count() <= MOST_BROADCAST else fit
     return rows.join(fit, keys).withColumn("distance", _distance(_Z(), [F.col(f"m{i}") for i in range(3)], cov)).drop(*[f"m{i}" for i in range(3)], *[f"c{i}{j}" for i, j in _PAIRS])
 
 
-def _nearest_half(measured: DataFrame, keys: list[str]) -> DataFrame:
+def _nearest_half(measured: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """Rows up to the bin of distances in which half of their group is reached."""
     binned = measured.withColumn("_bin", F.floor(F.log(F.greatest("distance", F.lit(1e-6))) * BINS_PER_UNIT).cast("int"))
     counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bin")
     edges = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))}).filter("2 * _upto >= _all").groupBy(*keys).agg(F.min("_bin").alias("_edge"))
-    return binned.join(edges, keys).filter("_bin <= _edge").drop("_bin", "_edge", "distance")
+    return binned.join(F.broadcast(edges) if few else edges, keys).filter("_bin <= _edge").drop("_bin", "_edge", "distance")
 
 
 def _median(slim: DataFrame, keys: list[str], stat: str) -> DataFrame:
@@ -147,8 +150,9 @@ def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     slim = rows.select(*keys, *STATS)
     start = reduce(lambda x, y: x.join(y, keys), [_median(slim, keys, s) for s in STATS])
     fit = settle(start.select(*keys, *[(F.col(s) / float(SCALE)).alias(f"m{i}") for i, s in enumerate(STATS)], *[F.lit(FLOORS[i] ** 2 if i == j else 0.0).alias(f"c{i}{j}") for i, j in _PAIRS]))
+    few = fit.count() <= MOST_BROADCAST
     for _ in range(STEPS):
-        fit = settle(_fitted(_nearest_half(_measured(slim, fit, keys), keys), keys))
+        fit = settle(_fitted(_nearest_half(_measured(slim, fit, keys), keys, few), keys))
     return _measured(rows, fit, keys)
 
 
