@@ -228,7 +228,7 @@ def similarity_sql(table: str, key: str, text: str, term: str, least: float = 0.
 
 def page_sql(source: str, key: str, descending: bool = False, limit: int = 50, offset: int = 0) -> str:
     direction = "desc" if descending else "asc"
-    return f"select {key}, round(score, 5) as score, (rank - {offset})::bigint as rank, total_count from (select *, row_number() over (order by round(score, 5) {direction}, {key}) as rank, count(*) over () as total_count from {source}) where rank > {offset} and rank <= {offset + limit}"
+    return f"select {key}, round(score::double, 5) as score, (rank - {offset})::bigint as rank, total_count from (select *, row_number() over (order by round(score::double, 5) {direction}, {key}) as rank, count(*) over () as total_count from {source}) where rank > {offset} and rank <= {offset + limit}"
 
 
 def terms_sql(table: str, key: str, text: str, terms: Sequence[str], weight: float = 0.4, where: str = "true", need: str = "or") -> str:
