@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import labelled_sample, mix, passes, read_table, span_hashes, texts_of, with_fields, word_bounds
 
 #: Bound on the labelled rows that are learned from.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 8_000
 #: Hash space of features, and how many of them a model may use.
 SPACE, MOST_FEATURES = 1 << 20, 4096
 #: Beginnings of words, in bytes, that are features besides the whole word.
@@ -50,6 +50,13 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(features)
 
 
+def _places(picked: np.ndarray) -> np.ndarray:
+    """The place of each feature among the picked ones, -1 for the others."""
+    out = np.full(SPACE, -1, np.int32)
+    out[picked] = np.arange(len(picked), dtype=np.int32)
+    return out
+
+
 @dataclass
 class Linear:
     """Logistic model over some hashed features and the probabilities of earlier links."""
@@ -61,8 +68,8 @@ class Linear:
 
     def score(self, row: np.ndarray, feature: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Probabilities of len(before) rows; (row, feature) pairs must be distinct."""
-        at = np.minimum(np.searchsorted(self.picked, feature), max(len(self.picked) - 1, 0))
-        hit = self.picked[at] == feature if len(self.picked) else np.zeros(len(feature), bool)
+        at = _places(self.picked)[feature]
+        hit = at >= 0
         total = np.bincount(row[hit], self.weight[at[hit]], len(before)) + before @ self.earlier + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
@@ -75,12 +82,12 @@ def fit_linear(row: np.ndarray, feature: np.ndarray, before: np.ndarray, y: np.n
         return nothing
     inside = use[row]
     r, f = row[inside], feature[inside]
-    yes, every = np.bincount(f, y[r], SPACE), np.bincount(f, minlength=SPACE)
+    yes, every = np.bincount(f[(y > 0)[r]], minlength=SPACE), np.bincount(f, minlength=SPACE)
     lift = (yes / positive) / ((every - yes + 0.5) / (n - positive + 0.5))
     able = np.flatnonzero((yes >= LEAST_TEXTS) & (lift >= LEAST_LIFT))
     picked = np.sort(able[np.argsort(-yes[able] * np.log(lift[able]), kind="stable")[:MOST_FEATURES]])
-    at = np.searchsorted(picked, f)
-    hit = (at < len(picked)) & (picked[np.minimum(at, max(len(picked) - 1, 0))] == f) if len(picked) else np.zeros(len(f), bool)
+    at = _places(picked)[f]
+    hit = at >= 0
     place = np.full(len(use), -1)
     place[use] = np.arange(n)
     r, at = place[r[hit]], at[hit]
@@ -144,14 +151,27 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = MOST_LABELLED) -
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sample = labelled_sample(texts, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), ["toxic"], bound, 7)
-    rows = sample.select("doc_id", "toxic", "lang", "text").mapInArrow(gather, "doc_id long, toxic int, lang string, x array<int>").toPandas().sort_values("doc_id", kind="stable")
+    rows = sample.select("doc_id", "toxic", "lang", "text").mapInArrow(gather, "doc_id long, toxic int, lang string, x array<int>").toArrow().sort_by("doc_id").combine_chunks()
     y = (rows["toxic"].to_numpy() > 0).astype(float)
-    languages = rows["lang"].fillna("")[y > 0].value_counts().sort_index()
-    languages = languages.sort_values(ascending=False, kind="stable").index[:MOST_LANGUAGES]
-    targets = {f"toxic_{x}": y * (rows["lang"].fillna("") == x).to_numpy() for x in languages} | {"toxic": y}
-    sizes = [len(x) for x in rows["x"]]
-    feature = np.concatenate([np.zeros(0, np.int64), *rows["x"]]).astype(np.int64)
-    return fit_chain(np.repeat(np.arange(len(rows)), sizes), feature, targets, rows["doc_id"].to_numpy())
+    lang = np.array([x or "" for x in rows["lang"].to_pylist()], object)
+    names, counts = np.unique(lang[y > 0].astype(str), return_counts=True)
+    languages = names[np.argsort(-counts, kind="stable")][:MOST_LANGUAGES]
+    targets = {f"toxic_{x}": y * (lang == x) for x in languages} | {"toxic": y}
+    row, feature = _features_in_reach(rows["x"], y)
+    return fit_chain(row, feature, targets, rows["doc_id"].to_numpy())
+
+
+def _features_in_reach(sets: pa.ChunkedArray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the features that some fold could pick: in enough toxic texts, and not in most texts.
+
+    A feature of LEAST_LIFT is in at most 1 / LEAST_LIFT of the texts outside its category; folds differ from the whole by less than 0.02.
+    """
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in sets.chunks)]).astype(np.int64))
+    feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in sets.chunks)]).astype(np.int32)
+    toxic, every = np.bincount(feature[(y > 0)[row]], minlength=SPACE), np.bincount(feature, minlength=SPACE)
+    able = (toxic >= LEAST_TEXTS) & (every <= y.sum() + (len(y) - y.sum()) / LEAST_LIFT + 0.02 * len(y))
+    keep = able[feature]
+    return row[keep], feature[keep]
 
 
 def score_toxicity(documents: DataFrame, model: Chain) -> DataFrame:
