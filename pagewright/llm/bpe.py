@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 
@@ -25,9 +26,13 @@ from pagewright.llm.common import read_table, with_fields
 #: Splits text into words before any merge: the published pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a Python worker keeps the encoding of.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: What it keeps of them, and of token borders, once a task is done: the earliest, so mostly the frequent ones.
+KEPT_IDLE = 50_000
+#: Token borders that are remembered.
+MOST_BORDERS = 400_000
 #: Characters of the documents whose words enter one trie.
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 1_500_000
 #: Lengths in bytes in which a last token is looked for; the order matters for speed only, as one token fits at most.
 LENGTHS_FIRST = (2, 3, 4, 1, 5)
 #: Characters whose class depends on no version of Unicode; texts with others are compared with the library's own splitting.
@@ -88,6 +93,8 @@ class Vocabulary:
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word with its tokens, by depth-first traversal of their trie."""
+        if len(self.border) > MOST_BORDERS:
+            self.border.clear()
         find, lengths, border, stable = self.ids.get, self.lengths, self.border, self.stable
         last: list[int] = [-1]
         wide: list[int] = [0]
@@ -153,6 +160,12 @@ class Encoder:
             return self.known
         return {w: new.get(w) or self.known[w] for w in pieces}
 
+    def shrink(self) -> None:
+        """Let go of most memory between tasks: the worker may serve other operators next."""
+        self.known = dict(itertools.islice(self.known.items(), KEPT_IDLE))
+        self.vocabulary.border = dict(itertools.islice(self.vocabulary.border.items(), KEPT_IDLE))
+        self.same = {}
+
     def _alike(self, char: str) -> bool:
         """Whether both splitters class a character alike: next to a letter, a digit, a sign and a space."""
         same = self.same.get(char)
@@ -221,7 +234,8 @@ def encode_documents(documents: DataFrame, path: str, keep_ids: bool = True) ->
     schema = with_fields(df, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * keep_ids)
 
     def encode(batches):
-        run = encoder(path).run
+        worker = encoder(path)
+        run = worker.run
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             for begin, end in portions(texts):
@@ -235,6 +249,7 @@ def encode_documents(documents: DataFrame, path: str, keep_ids: bool = True) ->
                         tokens.append([int(x) for x in ids.split(",")] if ids else [])
                 arrays = [pa.array(counts, pa.int64()), pa.array(sums), pa.array(decoded), *[pa.array(tokens, pa.list_(pa.int32()))] * keep_ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*names, *new])
+        worker.shrink()
 
     return df.mapInArrow(encode, schema)
 
