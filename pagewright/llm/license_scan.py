@@ -1,6 +1,8 @@
 """License scans: phrase places, and an exact containment join of text blocks with license templates.
 
-All of it is DataFrame functions, without a shuffle of texts. A block is a line; a template is a set of words.
+All of it is DataFrame functions, without a shuffle of texts. A block is a line, or a window of words that runs on
+over line ends, as notices are often wrapped; a template is a set of words. Windows are twice as long as the longest
+template and begin at every such length, so each run of words of that length lies whole in one of them.
 A pair meets the threshold if the block holds at least NEED = ceil(THRESHOLD * size) of the template's words.
 Words are ordered by how many texts of the whole corpus hold them, rarest first, so that
 
@@ -79,6 +81,12 @@ def _last_place(text: Column, phrase: str) -> Column:
     return F.regexp_extract(text, "(?s)^(.*)" + phrase_pattern(phrase), 1)
 
 
+def _windows(text: Column, longest: int) -> Column:
+    """Windows of 2 * longest words at every longest words, as texts. The words are bound by a lambda, so split once."""
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 1 - longest, F.lit(0)), F.lit(longest))
+    return F.flatten(F.transform(F.array(_words(text)), lambda w: F.transform(starts(w), lambda k: F.array_join(F.slice(w, k + 1, F.lit(2 * longest)), " "))))
+
+
 def vocabulary_order(documents: DataFrame, templates=TEMPLATES) -> list[str]:
     """The words of all templates, rarest first by the number of texts that hold them; ties by code point."""
     words = sorted({w for _, text in templates for w in text.split(" ")})
@@ -112,8 +120,8 @@ def _prefix_words(order: list[str], templates) -> list[str]:
 def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
     """documents without text, plus n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
-    matches lists (block, label, containment) of every line that meets THRESHOLD for a template. score is the
-    largest containment found, 1 where a base phrase stands, else 0. Null texts are empty: no words, no labels
+    matches lists (block, label, containment) of every line, and in texts of several lines of every window, that
+    meets THRESHOLD for a template. score is the largest containment found, 1 where a base phrase stands, else 0. Null texts are empty: no words, no labels
     (empty strings), null places. Rows are independent, so repeated rows get equal results; columns with these
     names are replaced, all others kept.
     """
@@ -130,7 +138,11 @@ def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templa
     last = [F.when(F.col(f"_n{k}") > 0, _count_words(_last_place(raw, p))) for k, p in enumerate(phrases)]
 
     rare = "|".join(_prefix_words(order, templates))
-    lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(rf"(?i)(?<!{LETTER_ANY_CASE})(?:{rare})(?!{LETTER_ANY_CASE})"))
+    telling = lambda x: x.rlike(rf"(?i)(?<!{LETTER_ANY_CASE})(?:{rare})(?!{LETTER_ANY_CASE})")
+    longest = max(len(text.split(" ")) for _, text in templates)
+    # a window with a telling word has a line with it, so other texts are not cut into windows
+    wrapped = lambda x: F.when((F.size(x) > 0) & raw.contains("\n"), F.filter(_windows(raw, longest), telling)).otherwise(F.array().cast("array<string>"))
+    lines = F.flatten(F.transform(F.array(F.filter(F.split(raw, "\n"), telling)), lambda x: F.concat(x, wrapped(x))))
     known = F.array(*map(F.lit, order))
     blocks = F.transform(lines, lambda x: F.struct(x.alias("block"), F.size(F.array_distinct(_words(_lower(x)))).alias("size"), F.array_intersect(known, F.split(_lower(x), GAP)).alias("held")))
 

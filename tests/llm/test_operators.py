@@ -344,6 +344,22 @@ def test_license_scan_brute_force(spark, odd):
         assert (r.base_labels, r.labels, r.score) == (",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if labels else best)
 
 
+def test_license_scan_wrapped_notices(spark):
+    notices = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"),
+        ("bsd", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"),
+        ("mpl-2", " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy"),
+        ("mit", "Permission is\nhereby\ngranted, free of\ncharge, to any person\nobtaining a copy of\nthis software"),
+        ("", "Redistribution and use\nof words far\n" + "apart " * 40 + "\nin source and binary forms, with or without\nmodification, are permitted"),
+    ]
+    # any number of words before, so that a notice begins at each place of a window
+    texts = [(label, "before " * n + "\n" + text + "\nafter" * (n % 3)) for label, text in notices for n in range(0, 40, 3)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    rows = license_scan.license_scan(df).collect()
+    assert [(r.doc_id, r.labels) for r in rows] == [(k, label) for k, (label, _) in enumerate(texts)]
+    assert all(r.score == (1.0 if r.labels else 0.0) for r in rows)
+
+
 def test_license_scan_odd_rows(odd, empty):
     rows = license_scan.license_scan(odd).collect()
     assert len(rows) == len(ODD) and all(r.labels == "" and r.score == 0.0 and r.first_word is None for r in rows)
