@@ -217,6 +217,20 @@ def test_likelihood_keeps_true_pairs():
     assert kept == 60 and far == 0
 
 
+def test_likelihood_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(7)
+    lost = 0
+    for shared, own in ((6, 1), (30, 5)):
+        one, other = [], []
+        for s in rng.integers(0, 2**64, (8_000, shared + 2 * own), np.uint64):
+            one.append(near_dedup.sketch(s[: shared + own]))
+            other.append(near_dedup.sketch(np.concatenate([s[:shared], s[shared + own :]])))
+        one, other = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (one, other))
+        n = np.full(len(one), shared + own)
+        lost += int((~near_dedup.likely(one, other, n, n)).sum())
+    assert lost == 0
+
+
 # --- 4 fingerprints
 
 
