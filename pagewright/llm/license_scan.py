@@ -48,6 +48,22 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+#: Gap between a license's name and its version: up to nine words without a number.
+_TO = r"(?: [^ 0-9]+){0,9} "
+#: Usual forms with a word changed or missing: label, words, and what a block's words, joined by spaces, must show so
+#: that it is this license and no other. The SQL has TEMPLATES alone.
+NOTICES = (
+    ("agpl-3", "licensed under the gnu affero general public license version 3", f" gnu affero general public license{_TO}3 "),
+    ("apache-2", "licensed under the apache license version 2 0", f" apache license{_TO}2 "),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", " creative commons attribution 4 0 "),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", " creative commons attribution noncommercial 4 0 "),
+    ("gpl-2", "licensed under the gnu general public license version 2", f" gnu general public license{_TO}2 "),
+    ("gpl-3", "licensed under the gnu general public license version 3", f" gnu general public license{_TO}3 "),
+    ("lgpl-2", "licensed under the gnu lesser general public license version 2 1", f" gnu lesser general public license{_TO}2 1 "),
+    ("mit", "released under the mit license", " mit license "),
+)
+#: Share of a notice's words that a block must hold: one word of five may lack.
+NOTICE_THRESHOLD = 0.8
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.92
 #: Bound on the template vocabulary, which is collected with its counts.
@@ -98,36 +114,42 @@ def vocabulary_order(documents: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
-def _template_structs(order: list[str], templates) -> Column:
+def _asked(templates, notices) -> list[tuple[str, str, str, float]]:
+    """(label, words, mark, threshold) of all; templates have no mark."""
+    return [(label, text, "", THRESHOLD) for label, text in templates] + [(*n, NOTICE_THRESHOLD) for n in notices]
+
+
+def _template_structs(order: list[str], asked) -> Column:
     rank = {w: k for k, w in enumerate(order)}
     rows = []
-    for label, text in templates:
+    for label, text, mark, threshold in asked:
         words = sorted(set(text.split(" ")), key=rank.__getitem__)
-        need = math.ceil(THRESHOLD * len(words) - 1e-9)
-        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need"), F.array(*map(F.lit, words[: len(words) - need + 1])).alias("prefix")))
+        need = math.ceil(threshold * len(words) - 1e-9)
+        rows.append(F.struct(F.lit(mark).alias("mark"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need"), F.array(*map(F.lit, words[: len(words) - need + 1])).alias("prefix")))
     return F.array(*rows)
 
 
-def _prefix_words(order: list[str], templates) -> list[str]:
+def _prefix_words(order: list[str], asked) -> list[str]:
     rank = {w: k for k, w in enumerate(order)}
     out = set()
-    for _, text in templates:
+    for _, text, _, threshold in asked:
         words = sorted(set(text.split(" ")), key=rank.__getitem__)
-        out.update(words[: len(words) - math.ceil(THRESHOLD * len(words) - 1e-9) + 1])
+        out.update(words[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1])
     return sorted(out)
 
 
-def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
+def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, notices=NOTICES) -> DataFrame:
     """documents without text, plus n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
     matches lists (block, label, containment) of every line, and in texts of several lines of every window, that
-    meets THRESHOLD for a template. score is the largest containment found, 1 where a base phrase stands, else 0. Null texts are empty: no words, no labels
+    meets THRESHOLD for a template, or NOTICE_THRESHOLD and the mark of a notice. score is the largest containment found, 1 where a base phrase stands, else 0. Null texts are empty: no words, no labels
     (empty strings), null places. Rows are independent, so repeated rows get equal results; columns with these
     names are replaced, all others kept.
     """
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
     kept = [c for c in documents.columns if c not in (*made, "text")]
-    order = vocabulary_order(documents, templates)
+    asked = _asked(templates, notices)
+    order = vocabulary_order(documents, [(label, text) for label, text, _, _ in asked])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = documents.select(*kept, text.alias("_text"))
     raw = F.col("_text")
@@ -137,9 +159,9 @@ def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templa
     first = [F.when(F.col(f"_n{k}") > 0, _count_words(F.substring(raw, F.lit(1), F.regexp_instr(raw, F.lit(phrase_pattern(p))) - 1))) for k, p in enumerate(phrases)]
     last = [F.when(F.col(f"_n{k}") > 0, _count_words(_last_place(raw, p))) for k, p in enumerate(phrases)]
 
-    rare = "|".join(_prefix_words(order, templates))
+    rare = "|".join(_prefix_words(order, asked))
     telling = lambda x: x.rlike(rf"(?i)(?<!{LETTER_ANY_CASE})(?:{rare})(?!{LETTER_ANY_CASE})")
-    longest = max(len(text.split(" ")) for _, text in templates)
+    longest = max(len(text.split(" ")) for _, text, _, _ in asked)
     # a window with a telling word has a line with it, so other texts are not cut into windows
     wrapped = lambda x: F.when((F.size(x) > 0) & raw.contains("\n"), F.filter(_windows(raw, longest), telling)).otherwise(F.array().cast("array<string>"))
     lines = F.flatten(F.transform(F.array(F.filter(F.split(raw, "\n"), telling)), lambda x: F.concat(x, wrapped(x))))
@@ -153,8 +175,9 @@ def license_scan(documents: DataFrame, phrases: dict[str, str] = PHRASES, templa
         room = 1 + F.least(F.size(t["words"]) - p - 1, F.size(b["held"]) - q - 1)
         return F.when((b["size"] >= t["need"]) & (F.size(firsts) > 0) & (room >= t["need"]), F.size(F.array_intersect(t["words"], b["held"]))).otherwise(0)
 
-    pairs = F.flatten(F.transform("_blocks", lambda b: F.transform(_template_structs(order, templates), lambda t: F.struct(b["block"].alias("block"), t["label"].alias("label"), match(b, t).alias("shared"), t["need"].alias("need"), F.size(t["words"]).alias("of")))))
-    found = F.transform(F.filter(pairs, lambda x: x["shared"] >= x["need"]), lambda x: F.struct(x["block"].alias("block"), x["label"].alias("label"), (x["shared"] / x["of"]).alias("containment")))
+    pairs = F.flatten(F.transform("_blocks", lambda b: F.transform(_template_structs(order, asked), lambda t: F.struct(t["mark"].alias("mark"), b["block"].alias("block"), t["label"].alias("label"), match(b, t).alias("shared"), t["need"].alias("need"), F.size(t["words"]).alias("of")))))
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(_words(_lower(x)), " "), F.lit(" "))
+    found = F.transform(F.filter(pairs, lambda x: (x["shared"] >= x["need"]) & ((x["mark"] == "") | F.rlike(spaced(x["block"]), x["mark"]))), lambda x: F.struct(x["block"].alias("block"), x["label"].alias("label"), (x["shared"] / x["of"]).alias("containment")))
     base = F.array_compact(F.array(*[F.when(F.col(f"_n{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))
     df = df.withColumn("_blocks", blocks).withColumn("matches", found).withColumn("_base", base)
     return df.select(

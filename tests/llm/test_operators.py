@@ -374,6 +374,27 @@ def test_license_scan_wrapped_notices(spark):
     assert all(r.score == (1.0 if r.labels else 0.0) for r in rows)
 
 
+def test_license_scan_usual_forms(spark):
+    forms = [
+        ("Licensed under the GNU General Public License, version 3", "gpl-3", 1.0),
+        ("This program is licensed under the GNU General Public\nLicense, version 3.", "gpl-3", 1.0),
+        ("Distributed under the GNU General Public License, version 2", "gpl-2", 8 / 9),
+        ("Licensed under the GNU Affero General Public License version 3", "agpl-3", 1.0),
+        ("Distributed under the GNU Affero General Public License version 3", "agpl-3", 9 / 10),
+        ("Licensed under the GNU Lesser General Public License v 2.1", "lgpl-2", 10 / 11),
+        ("Licensed under the Apache License 2.0", "apache-2", 7 / 8),
+        ("Licensed under a Creative Commons Attribution 4.0 License", "cc-by", 9 / 10),
+        ("Released under MIT License", "mit", 4 / 5),
+        ("Licensed under the GNU General Public License, version 1", "", 0.0),
+        ("Licensed under the Apache License, version 1.1", "", 0.0),
+        ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 License", "", 0.0),
+        ("The general public may read version 3", "", 0.0),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(forms)], "doc_id long, text string")
+    for r in license_scan.license_scan(df).collect():
+        assert (r.doc_id, r.labels, r.score) == (r.doc_id, forms[r.doc_id][1], pytest.approx(forms[r.doc_id][2]))
+
+
 def test_license_scan_odd_rows(odd, empty):
     rows = license_scan.license_scan(odd).collect()
     assert len(rows) == len(ODD) and all(r.labels == "" and r.score == 0.0 and r.first_word is None for r in rows)
