@@ -195,6 +195,19 @@ def _jobs_enqueue(spark: SparkSession, sf: str) -> DataFrame:
     return enqueue_frame(pending, keys)
 
 
+def _jobs_enqueue_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as targeted jobs, but for those that wait already."""
+    orders = parquet_folder(spark, sf)("orders")
+    keys = orders.select(F.lit("orders").alias("entity"), F.lit("default").alias("group_name"), F.col("o_orderkey").cast("string").alias("last_id"))
+    return enqueue_frame(keys.filter(orders["o_orderkey"] % 2 == 0), keys)
+
+
+def _owner_resolution_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers whose indexed text changes with every part of size 7, a set that grows with the table."""
+    engine = _engine(spark, sf)
+    return owners_of(engine.tables, CUSTOMER_PARTS, CUSTOMER_PARTS.paths[0].hops, engine.tables("part").filter("p_size = 7"))
+
+
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
     engine = _engine(spark, sf)
     return batch_summary(next_keys(engine, CONVERSATION, 100, (20, 1)), ["conv_id", "turn"])
@@ -359,6 +372,8 @@ _add("reindex_incremental", _reindex_incremental, f"select doc_id, case when doc
 _add("reindex_batch", _batch, "select count(*) as affected, max({'a': conv_id, 'b': turn}).a as last_conv_id, max({'a': conv_id, 'b': turn}).b as last_turn from (select * from conversations where conv_id > 20 or (conv_id = 20 and turn > 1) order by conv_id, turn limit 100)")
 _add("jobs_collapse", _jobs_collapse, "select * from (values (1::bigint, 'docs', 'default', 'pending', null), (3, 'docs', 'default', 'failed', '7'), (4, 'docs', 'other', 'pending', '7')) t(id, entity, group_name, status, last_id)")
 _add("jobs_enqueue", _jobs_enqueue, "select 'orders' as entity, 'default' as group_name, o_orderkey::varchar as last_id from orders where o_custkey <= 50 and o_orderkey % 2 <> 0")
+_add("jobs_enqueue_all", _jobs_enqueue_all, "select 'orders' as entity, 'default' as group_name, o_orderkey::varchar as last_id from orders where o_orderkey % 2 <> 0")
+_add("owner_resolution_growing", _owner_resolution_growing, "select distinct o_custkey as c_custkey from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where p_size = 7")
 
 
 def embedded_titles(spark: SparkSession, sf: str) -> DataFrame:
