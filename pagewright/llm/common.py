@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -34,11 +35,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """Point checkpoint() at spark.checkpoint.dir; a folder of our own only where none is set and all runs in this process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagewright-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -169,13 +173,18 @@ def hash_share(name: str, seed: int, rows: int, bound: int) -> Column:
     return F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(fine)) < min(fine, int(fine * bound / max(rows, 1)))
 
 
+def is_held_out(name: str) -> Column:
+    """Whether crc32 of an id as text is divisible by 5; false for null, which no label can name."""
+    return F.coalesce(F.crc32(F.col(name).cast("string")) % 5 == 0, F.lit(False))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str], bound: int, seed: int) -> DataFrame:
     """documents (doc_id, text, ...) joined with a sample of about bound labelled rows that learning may use.
 
     Rows whose crc32(doc_id as text) is divisible by 5 are held out and never sampled. A doc_id labelled twice
     takes the larger label. The sample is bounded, so it is broadcast and the texts stay where they are.
     """
-    free = labels.filter(F.col("doc_id").isNotNull() & F.col(columns[0]).isNotNull()).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    free = labels.filter(F.col("doc_id").isNotNull() & F.col(columns[0]).isNotNull()).filter(~is_held_out("doc_id"))
     free = free.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c).alias(c) for c in columns])
     sample = free.filter(hash_share("doc_id", seed, free.count(), bound))
     return documents.drop(*columns).join(F.broadcast(sample), "doc_id")

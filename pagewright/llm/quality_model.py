@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import labelled_sample, mix, passes, read_table, span_hashes, texts_of, with_fields, word_bounds
+from pagewright.llm.common import is_held_out, labelled_sample, mix, passes, read_table, span_hashes, texts_of, with_fields, word_bounds
 
 #: Bound on the labelled rows that are learned from.
 MOST_LABELLED = 20_000
@@ -37,10 +37,10 @@ _LINE_END = np.zeros(256, bool)
 _LINE_END[10] = True
 
 
-def _distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and the largest count of one, in each range of values."""
+def _distinct(values: np.ndarray, at: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the largest count of one, in each range of values without its last ones."""
     n, top = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
-    for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+    for k, (a, b) in enumerate(zip(at[:-1], at[1:] - less, strict=True)):
         if b > a:
             _, counts = np.unique(values[a:b], return_counts=True)
             n[k], top[k] = len(counts), counts.max()
@@ -62,7 +62,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(hashes) > 2:
             triples[:-2] = mix(hashes[:-2] + hashes[1:-1] * np.uint64(3) + hashes[2:] * np.uint64(7))
         words, top = _distinct(hashes, first)
-        threes, _ = _distinct(triples, first)
+        threes, _ = _distinct(triples, first, 2)
         l_starts, l_ends, l_first = word_bounds(part, at, _LINE_END)
         lines = np.diff(l_first).astype(float)
         each_line, _ = _distinct(span_hashes(part, l_starts, l_ends), l_first)
@@ -144,7 +144,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = MOST_LABELLED) -> Trees:
-    """Learn from about bound labelled rows; only their statistics reach the driver, in doc_id order."""
+    """Learn from about bound labelled rows; only their statistics reach the driver, in doc_id order.
+
+    Rows without doc_id have no label and are not learned from. A document that repeats a doc_id counts once a row;
+    ties in doc_id change the order of sums at most. Columns of documents besides doc_id and text are ignored, also
+    one named quality.
+    """
 
     def gather(batches):
         for batch in batches:
@@ -160,7 +165,8 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = MOST_LABELLED) -
 def score_quality(documents: DataFrame, model: Trees) -> DataFrame:
     """documents plus score (0 to 1) and predicted (1 from ACCEPT on), from whole texts in one pass without a shuffle.
 
-    Null and empty texts have all statistics zero and get that score. Columns of those names are replaced.
+    Null and empty texts have all statistics zero and get that score. Rows are scored one by one, so a null or
+    repeated doc_id changes nothing, and equal texts tie. Columns of those names are replaced, all others are kept.
     """
     df = documents.drop("score", "predicted")
     names = df.columns
@@ -174,7 +180,7 @@ def score_quality(documents: DataFrame, model: Trees) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a row without doc_id is in no fold, so held_out is false."""
     documents = read_table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(documents, read_table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score_quality(documents, model).select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import labelled_sample, mix, passes, read_table, span_hashes, texts_of, with_fields, word_bounds
+from pagewright.llm.common import is_held_out, labelled_sample, mix, passes, read_table, span_hashes, texts_of, with_fields, word_bounds
 
 #: Bound on the labelled rows that are learned from.
 MOST_LABELLED = 8_000
@@ -195,5 +195,4 @@ def score_toxicity(documents: DataFrame, model: Chain) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = train(documents, read_table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return score_toxicity(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "categories", "score", "toxic")
+    return score_toxicity(documents.select("doc_id", "text"), model).select("doc_id", is_held_out("doc_id").alias("held_out"), "categories", "score", "toxic")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, fingerprint, license_scan, mixing, near_dedup, outliers, pii, quality_model, toxicity, url_filter
-from pagewright.llm.common import connected_components, texts_of, word_bounds
+from pagewright.llm.common import connected_components, is_held_out, texts_of, word_bounds
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, size string"
@@ -472,6 +473,70 @@ def test_quality_learns_and_holds_out(spark, odd, empty):
     assert quality_model.score_quality(odd, none).filter("predicted = 0").count() == 0
 
 
+def test_held_out_is_never_null(odd):
+    rows = odd.select("doc_id", is_held_out("doc_id").alias("h")).collect()
+    assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def brute_statistics(text):
+    """The statistics of the quality classifier by loops."""
+    raw = text.encode()
+    if not raw:
+        return [0.0] * len(quality_model.FEATURES)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [w.translate(fold) for w in WORD.findall(text)]
+    lines = [x.translate(fold) for x in text.split("\n") if x]
+    n, white = len(words), sum(b in b" \t\n\x0b\x0c\r" for b in raw)
+    count = lambda chars: sum(chr(b) in chars for b in raw)
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    high, digits = sum(b >= 128 for b in raw), sum(48 <= b <= 57 for b in raw)
+    known = upper + lower + digits + count("#*$%&<>!.,|") + high + white
+    some, per_line = max(n, 1), max(len(lines), 1)
+    triples = {tuple(words[k : k + 3]) for k in range(n - 2)}
+    top = max(collections.Counter(words).values(), default=0)
+    return [
+        math.log1p(n), (len(raw) - white) / some, upper / max(upper + lower, 1), digits / len(raw), count("#*$%&<>") / some, count("!") / some, count(".,") / some, (len(raw) - known) / some,
+        high / len(raw), n / per_line, len(set(words)) / some, len(triples) / some, top / some, 1 - len(set(lines)) / per_line, count("|") / some, sum(len(w.encode()) <= 2 for w in words) / some,
+    ]
+
+
+def test_statistics_by_brute_force():
+    import pyarrow as pa
+
+    texts = [*made_up(40), "", " \n ", "a", "A b", "one two a one two a", "X!! | y; 12 é\nX!! | y; 12 é\n\n#tag <b> $5, ok.", "\U0001f600 日本 x\ty"]
+    got = quality_model.text_features(*texts_of(pa.array(texts)))
+    assert np.allclose(got, [brute_statistics(t) for t in texts])
+    alone = np.concatenate([quality_model.text_features(*texts_of(pa.array([t]))) for t in texts])
+    assert np.array_equal(got, alone)
+
+
+def best_split(x, y):
+    """Feature and threshold of the first split by trying every threshold of every feature."""
+    p = y.mean()
+    grad, hess = y - p, np.full(len(y), p * (1 - p))
+    best = (1e-9, None)
+    for f in range(x.shape[1]):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_model.BINS + 1)[1:-1])):
+            left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) < quality_model.LEAST_ROWS:
+                continue
+            part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + quality_model.RIDGE)
+            gain = part(left) + part(~left) - part(np.ones(len(y), bool))
+            if gain > best[0] + 1e-9:
+                best = (gain, (f, cut))
+    return best[1]
+
+
+def test_first_split_by_brute_force():
+    rng = np.random.default_rng(11)
+    for seed in range(5):
+        x = np.round(rng.normal(size=(200, 4)), 2)
+        y = (x[:, seed % 4] + rng.normal(size=200) > 0.3).astype(float)
+        model = quality_model.fit_trees(x, y)
+        f, cut = best_split(x, y)
+        assert (model.feature[0, 0], model.threshold[0, 0]) == (f, cut)
+
+
 def test_trees_match_a_walk():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 3))
