@@ -92,10 +92,13 @@ class Vocabulary:
         return True
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """Each distinct word with its tokens, by depth-first traversal of their trie."""
+        """Each distinct word with its tokens, by depth-first traversal of their trie.
+
+        A step looks at no more than the longest token's bytes, so a word takes time linear in its length.
+        """
         if len(self.border) > MOST_BORDERS:
             self.border.clear()
-        find, lengths, border, stable = self.ids.get, self.lengths, self.border, self.stable
+        find, lengths, longest, border, stable = self.ids.get, self.lengths, self.longest, self.border, self.stable
         last: list[int] = [-1]
         wide: list[int] = [0]
         before = b""
@@ -105,7 +108,7 @@ class Vocabulary:
                 shared += 1
             del last[shared + 1 :], wide[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                token = find(word[:end])
+                token = find(word[:end]) if end <= longest else None
                 if token is not None:
                     last.append(token)
                     wide.append(end)
@@ -225,8 +228,10 @@ def encode_documents(documents: DataFrame, path: str, keep_ids: bool = True) ->
     """documents plus n_tokens, ids_sha256 and decoded_sha256, and tokens (array of int) if keep_ids.
 
     The text column is encoded whole as the tokenizers library does without added special tokens: special
-    strings in a text become their token. Null counts as empty; an empty text has no tokens. Columns of those
-    names are replaced, all others are kept. One pass without a shuffle; path must be readable on executors.
+    strings in a text become their token. Null counts as empty; an empty text has no tokens. Rows are encoded one by
+    one, so repeated rows get equal results; time is linear in the length of a text, also of one that is a single
+    word. Columns of those names are replaced, all others are kept. One pass without a shuffle; path must be
+    readable on executors.
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *["tokens"] * keep_ids]
     df = documents.drop(*new)

@@ -110,28 +110,49 @@ def iban_check(bban: str, country: str) -> str:
     return f"{98 - int(spelled) % 97:02d}"
 
 
-def parse_date(text: str) -> tuple[datetime.date, str] | None:
-    """A date of 1900-2099 as year-month-day, day.month.year or month/day/year, and the format it is in."""
+def parse_date(text: str) -> tuple[datetime.date, str, tuple[int, int, int], tuple[int, int]] | None:
+    """A date of 1900-2099, its separator, the places of year, month and day, and the widths kept of month and day.
+
+    Year first, or day.month.year, or month/day/year and where that is no date day/month/year; the same with dashes.
+    A width of 0 says that month and day are written as short as they are, 1 and 2 that each keeps its own width.
+    """
     sign = next((c for c in "-./" if c in text), "")
     parts = text.split(sign) if sign else []
     if len(parts) != 3:
         return None
-    order = {"-": (0, 1, 2), ".": (2, 1, 0), "/": (2, 0, 1)}[sign]
-    year, month, day = (int(parts[k]) for k in order)
-    try:
-        date = datetime.date(year, month, day)
-    except ValueError:
-        return None
-    return (date, sign) if 0 <= date.toordinal() - _DAY_ZERO < _DAYS else None
+    orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0),) if sign == "." else ((2, 0, 1), (2, 1, 0))
+    for order in orders:
+        year, month, day = (int(parts[k]) for k in order)
+        widths = tuple(len(parts[k]) for k in order[1:])
+        try:
+            date = datetime.date(year, month, day)
+        except ValueError:
+            continue
+        if not 0 <= date.toordinal() - _DAY_ZERO < _DAYS:
+            continue
+        led = any(parts[k][0] == "0" for k in order[1:])
+        return date, sign, order, (2, 2) if widths == (2, 2) else widths if led else (0, 0)
+    return None
+
+
+def _write_date(date: datetime.date, sign: str, order: tuple[int, int, int], widths: tuple[int, int]) -> str:
+    parts = [""] * 3
+    for k, value, width in zip(order, (date.year, date.month, date.day), (4, *widths), strict=True):
+        parts[k] = str(value).zfill(width)
+    return sign.join(parts)
 
 
 def _date(f: Feistel, text: str, back: bool) -> str | None:
+    """Another date in the same format. Dates that the format cannot tell apart from another's are walked past, so it can be undone."""
     parsed = parse_date(text)
     if parsed is None:
         return None
-    date, sign = parsed
-    new = datetime.date.fromordinal(_DAY_ZERO + f.below(date.toordinal() - _DAY_ZERO, _DAYS, b"date", back))
-    return new.strftime({"-": "%Y-%m-%d", ".": "%d.%m.%Y", "/": "%m/%d/%Y"}[sign])
+    date, *shape = parsed
+    while True:
+        date = datetime.date.fromordinal(_DAY_ZERO + f.below(date.toordinal() - _DAY_ZERO, _DAYS, b"date", back))
+        new = _write_date(date, *shape)
+        if parse_date(new) == (date, *shape):
+            return new
 
 
 def _ip(f: Feistel, text: str, back: bool) -> str | None:
@@ -177,12 +198,14 @@ _OTHER = re.compile(
     r"(?P<assigned>(?<![0-9A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z_+/-]{6,})"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|sk-[A-Za-z0-9]{32,}|(?=[0-9]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}))(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9]))"
+    r"|(?P<phone>(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z.-])(?:[0-9]{3}(?P<dash>[.-])[0-9]{3}(?P=dash)[0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|\(0[0-9]{2,4}\)[ -]?[0-9]{3,4}[ -]?[0-9]{3,4})(?![0-9A-Za-z]|[.-][0-9]| [0-9]{3}))"
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))"
-    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9]))"
+    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<first>[-/])[0-9]{1,2}(?P=first)[0-9]{1,2}|[0-9]{1,2}(?P<last>[./-])[0-9]{1,2}(?P=last)[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9]))"
     r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
 )
+_KINDS = ("assigned", "secret", "iban", "phone", "ip", "ssn", "date", "card")
 #: No other kind but email is without two digits side by side or a named secret; most texts stop here.
 _ABLE = re.compile(r"[0-9][0-9]|[0-9][ .-][0-9]|AKIA|ASIA|ghp_|sk_live_|sk-|[=:]")
 
@@ -196,7 +219,7 @@ def find_and_replace(text: str, f: Feistel, back: bool = False) -> tuple[str, li
             spots.append((m.start(), m.end(), "email", f.within(local, b"email", by_class, back) + "@" + domain))
     if _ABLE.search(text):
         for m in _OTHER.finditer(text):
-            kind, found = m.lastgroup, m[0]
+            kind, found = next(k for k in _KINDS if m[k]), m[0]
             new: str | None
             begin = m.start()
             if kind == "assigned":
@@ -208,7 +231,7 @@ def find_and_replace(text: str, f: Feistel, back: bool = False) -> tuple[str, li
                 pair = _long_number(f, found, back)
                 new, kind = pair if pair else (None, kind)
             elif kind == "phone":
-                head = re.match(r"\+[0-9]{1,3}(?=[ .-])|", found)[0]
+                head = "" if m["dash"] else re.match(r"\+[0-9]{1,3}(?=[ .-])|\(?0|", found)[0]
                 new = head + f.within(found[len(head) :], b"phone", digits_only, back)
             elif kind == "ssn":
                 new = f.within(found, b"ssn", digits_only, back)
