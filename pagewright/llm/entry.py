@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprint": fingerprint.op4_fingerprint,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.op6_url_filter,
+    "redirected_urls": url_filter.redirected_urls,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality_model.op8_quality,
     "op9_pii": pii.op9_pii,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "redirected_urls": url_filter.REDIRECTED_ORACLE,
 }

@@ -26,8 +26,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Rules travel inside the plan; a longer list is refused.
-MOST_RULES = 5_000
+#: Rules up to this many travel inside the plan; longer lists, and DataFrames of rules, are joined.
+MOST_INLINE = 200
+#: Rule hosts up to this many are broadcast in that join.
+MOST_BROADCAST = 50_000
 
 _LINK = regex.compile(r"(?is)<link\b[^>]*>|<meta\b[^>]*>")
 _ATTRIBUTE = regex.compile(r"""(?is)([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -80,10 +82,14 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return able.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_edges, "src_url string, dst_url string")
 
 
-def with_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """df with host and path, plus rule (host and path start of the longest that fits) and rule_verdict."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules, not {len(rules)}")
+def with_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """df with host and path, plus rule (host and path start of the longest that fits) and rule_verdict.
+
+    rules are (verdict, host, path), as a list or a DataFrame, of any number; of equal ones that disagree, block wins.
+    """
+    if isinstance(rules, DataFrame) or len(rules) > MOST_INLINE:
+        listed = rules if isinstance(rules, DataFrame) else df.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+        return _joined_rule(df, listed)
     none = F.lit(None).cast("struct<size:int,host_size:int,verdict:string,name:string>")
     if not rules:
         return df.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
@@ -93,7 +99,27 @@ def with_rule(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame
     return df.withColumn("_best", best).withColumns({"rule": F.col("_best.name"), "rule_verdict": F.col("_best.verdict")}).drop("_best")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def _joined_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """with_rule by two equi-joins of distinct (host, path): host suffixes find hosts with rules, and at these the path
+    starts of the lengths that the host's rules have find the rules themselves. A URL brings as many rows as its host
+    has suffixes no longer than the longest rule host, then as its rule hosts have lengths of paths."""
+    rules = rules.select("verdict", F.col("host").alias("_h"), F.col("path").alias("_p")).filter("_h is not null and _p is not null").groupBy("_h", "_p").agg(F.max("verdict").alias("verdict"))
+    hosts = rules.groupBy("_h").agg(F.collect_set(F.length("_p")).alias("_sizes"))
+    count, longest = hosts.agg(F.count("*"), F.max(F.length("_h"))).first()
+    hosts = F.broadcast(hosts) if count <= MOST_BROADCAST else hosts
+    urls = df.select("host", "path").distinct()
+    # a suffix begins at the start or after a dot; only the last `longest` characters can be a rule's host
+    tail = F.when(F.length("host") > (longest or 0), F.right("host", F.lit((longest or 0) + 1))).otherwise(F.concat(F.lit("."), F.col("host")))
+    starts = F.filter(F.sequence(F.lit(1), F.length("_tail")), lambda k: F.substring("_tail", k, F.lit(1)) == ".")
+    near = urls.withColumn("_tail", tail).withColumn("_h", F.explode(F.transform(starts, lambda k: F.substring("_tail", k + 1, F.length("_tail"))))).drop("_tail").join(hosts, "_h")
+    near = near.withColumn("_size", F.explode("_sizes")).filter("_size <= length(path)").withColumn("_p", F.substring("path", F.lit(1), F.col("_size")))
+    fits = near.join(rules, ["_h", "_p"])
+    order = F.struct((F.length("_h") + F.length("_p")).alias("size"), F.length("_h").alias("host_size"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_h", "_p").alias("rule"), F.col("verdict").alias("rule_verdict")), order).alias("_best"))
+    return df.drop("rule", "rule_verdict").join(best, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.rule_verdict")}).drop("_best")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row per row of pages (url, html): page_id, host, path, rule, verdict and decided_by (rule, alias, default).
 
     redirects may add edges (src_url, dst_url). Fragments do not tell aliases apart. Null or malformed URLs have
@@ -119,6 +145,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def page_redirects(pages: DataFrame) -> DataFrame:
+    """An edge table made of pages, as the tables declare no aliases: a page redirects to the next page_id if that page's html is shorter."""
+    one = pages.select(F.col("page_id").alias("_of"), F.col("url").alias("src_url"), F.length("html").alias("_n"))
+    other = pages.select((F.col("page_id") - 1).alias("_of"), F.col("url").alias("dst_url"), F.length("html").alias("_m"))
+    return one.join(other, "_of").filter("_n > _m").select("src_url", "dst_url")
+
+
+def redirected_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged with the edges of page_redirects: decisions reach aliases across hosts."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return judge_urls(pages, redirects=page_redirects(pages)).select("page_id", "rule", "verdict", "decided_by")
+
+
 #: Pages of the tables declare no aliases, so rules and the default decide.
 ORACLE = r"""
 with parts as (
@@ -132,3 +171,23 @@ best as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict, case when rule is null then 'default' else 'rule' end as decided_by
 from parts left join best using (page_id)
 """
+
+REDIRECTED_ORACLE = r"""
+with recursive parts as (
+  select page_id, url, length(html) as n, split_part(url, '#', 1) as node, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+rules(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best as (
+  select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict
+  from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+edges as (select a.node as x, b.node as y from parts a join parts b on b.page_id = a.page_id + 1 and a.n > b.n),
+both_ways as (select x, y from edges union select y, x from edges),
+reach(node, other) as (select distinct x, x from both_ways union select node, y from reach join both_ways on x = other),
+decided as (
+  select r.node, bool_or(verdict = 'allow') as allowed, bool_or(verdict = 'block') as blocked
+  from reach r join parts on parts.node = r.other join best using (page_id) group by r.node)
+select parts.page_id, rule, case when rule is not null then verdict when allowed then 'allow' when blocked then 'block' else 'allow' end as verdict,
+       case when rule is not null then 'rule' when allowed or blocked then 'alias' else 'default' end as decided_by
+from parts left join best on best.page_id = parts.page_id left join decided on decided.node = parts.node
+"""

@@ -442,6 +442,30 @@ def test_url_rules_and_aliases(spark):
     assert {r.page_id: (r.verdict, r.decided_by) for r in without}[3] == ("block", "alias")
 
 
+def test_url_rules_are_joined_alike(spark, monkeypatch):
+    """Any number of rules: the join of host suffixes and path starts gives what the list inside the plan gives."""
+    rng = random.Random(4)
+    hosts = ["a.org", "b.a.org", "c.b.a.org", "org", "x.net", "", ".", "a..org", "org.a", "long" * 50 + ".a.org"]
+    paths = ["/", "/a", "/a/b", "/a/b/c", "", "/" + "z" * 300]
+    rules = [(rng.choice(["allow", "block"]), h, p) for h in ("org", "a.org", "b.a.org", "net", "rg", "") for p in ("", "/", "/a", "/a/b", "/a/bc", "/z")]
+    urls = spark.createDataFrame([(k, h, p) for k, (h, p) in enumerate((h, p) for h in hosts for p in paths)] * 2, "k long, host string, path string")
+    plain = lambda df: sorted(str((r.k, r.rule, r.rule_verdict)) for r in df.collect())
+    want = plain(url_filter.with_rule(urls, rules))
+    assert plain(url_filter.with_rule(urls, spark.createDataFrame(rules, "verdict string, host string, path string"))) == want
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", 0)
+    many = [*rules, *(("block", f"h{k}.other", "/") for k in range(6_000))]
+    assert plain(url_filter.with_rule(urls, many)) == want
+
+
+def test_url_very_long(spark):
+    """A URL of 200,000 labels, one with a long path and a page of 3 MB are judged like others."""
+    pages = [(1, "http://" + "a." * 200_000 + "example.org/es/1", "x" * 3_000_000 + "<link rel=canonical href='http://z.net/'>"), (2, "http://example.org/es/" + "p" * 500_000, "<" * 100_000), (3, "http://z.net/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for rules in (url_filter.RULES, spark.createDataFrame(list(url_filter.RULES), "verdict string, host string, path string")):
+        got = {r.page_id: (r.verdict, r.decided_by) for r in url_filter.judge_urls(df, rules).collect()}
+        assert got == {1: ("block", "rule"), 2: ("block", "rule"), 3: ("block", "alias")}
+
+
 def test_url_edge_table_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://q.net/1", None)], "page_id long, url string, html string")
     edges = spark.createDataFrame([("http://q.net/1", "http://example.org/es/z"), (None, "x")], "src_url string, dst_url string")
@@ -734,7 +758,7 @@ def test_quality_rules_odd_rows(odd, empty):
 # --- SQL
 
 
-@pytest.mark.parametrize("name", ["op1_mix", "op6_url_filter"])
+@pytest.mark.parametrize("name", ["op1_mix", "op3_near_dedup", "op5_license_scan", "op6_url_filter", "redirected_urls"])
 def test_oracle(spark, tmp_path, name):
     from pagewright.llm.entry import ORACLE_SQL, QUERIES
 
