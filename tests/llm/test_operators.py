@@ -345,7 +345,7 @@ def test_fingerprint_odd_rows(spark, odd, empty):
 
 
 def test_license_scan_brute_force(spark, odd):
-    texts = ["Under THE mit-License, under the MIT license", "xunder the mit license cc by nc by nc cc by nc cc BY  nc", "!!! cc by nc!", "éunder the mit license", "under the mit licenseé cc by ncx", "a\nThis work is licensed under the GNU General Public License, version 3.\nb", "Permission is hereby granted, free of charge, to any person obtaining a copy of the software", LONG]
+    texts = ["Under THE mit-License, under the MIT license", "xunder the mit license cc by nc by nc cc by nc cc BY  nc", "!!! cc by nc!", "éunder the mit license", "under the mit licenseé cc by ncx", "a\nThis work is licensed under the GNU General Public License, version 3.\nb", "Permission is hereby granted, free of charge, to any person obtaining a copy of the software", "KELVIN \u212aelvin W\u212a \u0130x cc \u212a by nc", "", " \n", LONG, "plain " * 40_000 + "cc by nc 4.0 is what this is licensed under " + "plain " * 9]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_base int")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -359,13 +359,13 @@ def test_license_scan_brute_force(spark, odd):
             places += found
             labels |= {label} if found else set()
         more = set(labels)
-        for line in text.split("\n"):
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split(" "))
-                shared = len(t & set(word.findall(line)))
-                if shared >= math.ceil(license_scan.THRESHOLD * len(t) - 1e-9):
-                    more.add(label)
-                    best = max(best, shared / len(t))
+        for t in license_scan.TEMPLATES:
+            for start in range(0, len(w), t.size):
+                block = w[start : start + 2 * t.size]
+                shared = len(set(t.words) & set(block))
+                if shared >= t.need and re.search(t.mark, f" {' '.join(block)} "):
+                    more.add(t.label)
+                    best = max(best, shared / len(t.words))
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert (r.base_labels, r.labels, r.score) == (",".join(sorted(labels)), ",".join(sorted(more)), 1.0 if labels else best)
 
@@ -407,6 +407,40 @@ def test_license_scan_usual_forms(spark):
         assert (r.doc_id, r.labels, r.score) == (r.doc_id, forms[r.doc_id][1], pytest.approx(forms[r.doc_id][2]))
 
 
+@pytest.mark.parametrize("label, text", license_scan.TEXTS)
+def test_license_scan_whole_texts(spark, label, text):
+    """Whole licenses as they stand in files: wrapped, after comment signs, with some words changed, after anything."""
+    words = text.split()
+    rng = random.Random(label)
+    texts = []
+    for before in range(0, 300, 23):
+        w = [*words]
+        for k in rng.sample(range(len(w)), len(w) // 40):
+            changed = [*w[:k], "changed", *w[k + 1 :]]
+            # a word of the license's own name tells it from others, so it stays
+            if re.search(license_scan.MARKS.get(label, ""), " " + re.sub(license_scan.GAP, " ", " ".join(changed).lower()) + " "):
+                w = changed
+        lines = [" * " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9)]
+        texts.append("word " * before + "\n/*\n" + "\r\n".join(lines) + "\n */\n" + "code " * (before % 50))
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(label in r.labels.split(",") for r in got)
+    plain = license_scan.license_scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert plain.labels == label and plain.score == 1.0
+
+
+def test_license_scan_is_a_join(spark):
+    """Blocks meet templates by an equi-join, no Python is in the plan, and a template list of any size is taken."""
+    df = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k}") for k in range(30)], "doc_id long, text string")
+    many = tuple(license_scan.Template.of(f"l{k}", f"alpha{k} beta{k} gamma{k} delta{k}", "") for k in range(6_000))
+    got = license_scan.license_scan(df, templates=many)
+    assert {r.doc_id: (r.labels, r.score) for r in got.collect()} == {k: (f"l{k}", 1.0) for k in range(30)}
+    order = license_scan.vocabulary_order(df, many)
+    blocks = df.select(F.col("doc_id").cast("string").alias("_key"), F.col("text").alias("_body"), F.expr("array(named_struct('size', 16, 'start', 0))").alias("_starts"))
+    plan = license_scan._matches(blocks, many, order)._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_license_scan_odd_rows(odd, empty):
     rows = license_scan.license_scan(odd).collect()
     assert len(rows) == len(ODD) and all(r.labels == "" and r.score == 0.0 and r.first_word is None for r in rows)
