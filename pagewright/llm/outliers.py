@@ -1,14 +1,20 @@
 """Quality rules: fixed base rules, and robust multivariate outliers per language and source.
 
-All of it is DataFrame functions. The statistics of a text are expressions of one row. Per (lang, source) the
-minimum covariance determinant is approached by concentration steps: start from medians, and in each step take
-the mean and covariance of the half of the rows that lies nearest by Mahalanobis distance. Sums run over
-statistics rounded to fixed steps, so they are integers and agree from run to run; the half is found on a
-histogram of distances. What is gathered per step is one row per group, or one per group and bin.
+All of it is DataFrame functions. The statistics of a text are expressions of one row, rounded to fixed steps; equal
+vectors of a group become one with a count, and the estimates see only these. Per (lang, source) the minimum (regularised)
+covariance determinant is sought from several starts: the medians, and random elemental sets of four vectors. Each start
+goes through concentration steps: the mean and covariance of the half of the rows that lies nearest by Mahalanobis
+distance. After SHORT_STEPS the BEST starts with the least determinants go on, and the least determinant of all wins.
+Its covariance gets the consistency factor of a half sample, rows beyond the REWEIGHT quantile are left out, and the
+mean and covariance of the others, with the factor of that cut, give the distances that are judged.
+
+A step is one aggregate over (group, start, bin of distances) with sums of integers, which agree from run to run, and
+a running total over bins; one row a group and start is what goes on.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,18 +32,46 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: The transformed statistics, in steps of 1 / SCALE.
 STATS = ("z_symbols", "z_lines", "z_word")
 SCALE = 1000
-#: Least standard deviation of each statistic, so that groups of equal rows do not reject what hardly differs.
-FLOORS = (0.25, 0.25, 0.12)
-#: Concentration steps after the start.
-STEPS = 4
-#: Squared Mahalanobis distance beyond which a row is rejected.
-CUTOFF = 90.0
-#: Groups up to which their estimates are broadcast; beyond, rows are joined by a shuffle.
+#: Least standard deviation of each statistic: their squares are added to every covariance, so that groups of equal rows
+#: do not reject what hardly differs and no determinant is zero. They are such that two symbols, one repeated line, or
+#: words longer by their usual spread over LEAST_WORDS words do not by themselves reject the shortest text.
+FLOORS = (0.4, 0.35, 0.15)
+#: Random starts besides the medians, steps of all of them, and steps of the BEST ones after that.
+STARTS, SHORT_STEPS, BEST, LONG_STEPS = 6, 2, 2, 4
+#: Quantiles of the chi-square distribution of the squared distance: rows beyond the first do not count in the
+#: reweighted estimate, rows beyond the second are rejected.
+REWEIGHT, REJECT = 0.975, 0.9999
+#: Groups times starts up to which estimates are broadcast; beyond, rows are joined by a shuffle.
 MOST_BROADCAST = 50_000
 #: Histogram bins: BINS_PER_UNIT to each power of e of the squared distance.
 BINS_PER_UNIT = 64
 
 
+def chi_square(x: float, degrees: int) -> float:
+    """The distribution function for odd degrees of freedom."""
+    total = math.erf(math.sqrt(x / 2))
+    for k in range(1, degrees, 2):
+        total -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return total
+
+
+def chi_square_quantile(p: float, degrees: int) -> float:
+    low, high = 0.0, 1e3
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < p else (low, middle)
+    return low
+
+
+def consistency(share: float, degrees: int = len(STATS)) -> float:
+    """What the covariance of the nearest share of normal rows is multiplied by to be that of all."""
+    return share / chi_square(chi_square_quantile(share, degrees), degrees + 2)
+
+
+#: Squared Mahalanobis distance beyond which a row is rejected.
+CUTOFF = chi_square_quantile(REJECT, len(STATS))
+
+
 def count_of(text: Column, char: str) -> Column:
     """How often an ASCII character occurs."""
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
@@ -94,66 +128,114 @@ def transformed(df: DataFrame) -> DataFrame:
     )
 
 
-def _distance(z: list[Column], mean: list[Column], cov: list[list[Column]]) -> Column:
-    """Squared Mahalanobis distance for three statistics, by the adjugate of the covariance."""
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_FIT = [*[f"m{i}" for i in range(3)], *[f"c{i}{j}" for i, j in _PAIRS]]
+
+
+def _regular(factor: float = 1.0) -> list[list[Column]]:
+    """The covariance of a fit times factor, plus FLOORS squared on the diagonal."""
+    entry = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}") * factor + (FLOORS[i] ** 2 if i == j else 0.0)
+    return [[entry(i, j) for j in range(3)] for i in range(3)]
+
+
+def _determinant(cov: list[list[Column]]) -> Column:
+    (a, b, c), (_, d, e), (_, _, f) = cov
+    return a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)
+
+
+def _distance(cov: list[list[Column]]) -> Column:
+    """Squared Mahalanobis distance of STATS to the fit's mean, by the adjugate of the covariance."""
     (a, b, c), (_, d, e), (_, _, f) = cov
-    det = a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)
     inv = [[d * f - e * e, c * e - b * f, b * e - c * d], [None, a * f - c * c, b * c - a * e], [None, None, a * d - b * b]]
-    diff = [x - m for x, m in zip(z, mean, strict=True)]
+    diff = [F.col(s) / float(SCALE) - F.col(f"m{i}") for i, s in enumerate(STATS)]
     total = F.lit(0.0)
     for i in range(3):
         for j in range(i, 3):
             total = total + (1.0 if i == j else 2.0) * inv[i][j] * diff[i] * diff[j]
-    return F.greatest(total / det, F.lit(0.0))
+    return F.greatest(total / _determinant(cov), F.lit(0.0))
 
 
-_Z = lambda: [F.col(s) / float(SCALE) for s in STATS]
-_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+def _sums() -> list[Column]:
+    """Exact sums of _n rows each: how many, of each statistic, of each product."""
+    wide = lambda c: F.sum(c.cast("decimal(38,0)"))
+    return [
+        F.sum("_n").alias("_rows"),
+        *[wide(F.col("_n") * F.col(s)).alias(f"_s{i}") for i, s in enumerate(STATS)],
+        *[wide(F.col("_n") * F.col(STATS[i]) * F.col(STATS[j])).alias(f"_q{i}{j}") for i, j in _PAIRS],
+    ]
 
 
-def _fitted(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and covariance of the rows of each group, with FLOORS squared added on the diagonal; exact integer sums."""
-    wide = lambda c: c.cast("decimal(38,0)")
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(wide(F.col(s))).alias(f"_s{i}") for i, s in enumerate(STATS)], *[F.sum(wide(F.col(STATS[i]) * F.col(STATS[j]))).alias(f"_q{i}{j}") for i, j in _PAIRS])
-    n = F.col("_n").cast("double")
+def _fit_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., _FIT) of rows of sums."""
+    n = F.col("_rows").cast("double")
     mean = [F.col(f"_s{i}").cast("double") / n / SCALE for i in range(3)]
-    cov = {(i, j): F.col(f"_q{i}{j}").cast("double") / n / SCALE**2 - mean[i] * mean[j] + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
-    return sums.select(*keys, *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[cov[p].alias(f"c{p[0]}{p[1]}") for p in _PAIRS])
+    cov = {(i, j): F.col(f"_q{i}{j}").cast("double") / n / SCALE**2 - mean[i] * mean[j] for i, j in _PAIRS}
+    return sums.select(*keys, *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[cov[i, j].alias(f"c{i}{j}") for i, j in _PAIRS])
 
 
-def _measured(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
-    """rows plus distance. Estimates are one row a group; up to MOST_BROADCAST of them are broadcast, so hot groups stay where they are."""
-    cov = [[F.col(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
-    fit = F.broadcast(fit) if fit.count() <= MOST_BROADCAST else fit
-    return rows.join(fit, keys).withColumn("distance", _distance(_Z(), [F.col(f"m{i}") for i in range(3)], cov)).drop(*[f"m{i}" for i in range(3)], *[f"c{i}{j}" for i, j in _PAIRS])
+def _bounded(fits: DataFrame) -> DataFrame:
+    """Fits to be joined: up to MOST_BROADCAST of them are broadcast, so hot groups stay where they are."""
+    return F.broadcast(fits) if fits.count() <= MOST_BROADCAST else fits
 
 
-def _nearest_half(measured: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """Rows up to the bin of distances in which half of their group is reached."""
-    binned = measured.withColumn("_bin", F.floor(F.log(F.greatest("distance", F.lit(1e-6))) * BINS_PER_UNIT).cast("int"))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_bin")
-    edges = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))}).filter("2 * _upto >= _all").groupBy(*keys).agg(F.min("_bin").alias("_edge"))
-    return binned.join(F.broadcast(edges) if few else edges, keys).filter("_bin <= _edge").drop("_bin", "_edge", "distance")
+def _step(vectors: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+    """The fits of the nearest half of each group: rows up to the bin of distances in which (n + 4) / 2 of them are reached."""
+    bins = F.floor(F.log(F.greatest(_distance(_regular()), F.lit(1e-6))) * BINS_PER_UNIT).cast("int")
+    counts = vectors.join(_bounded(fits), keys).groupBy(*keys, "start", bins.alias("_bin")).agg(*_sums())
+    names = [c for c in counts.columns if c not in (*keys, "start", "_bin")]
+    group = Window.partitionBy(*keys, "start")
+    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.select(*keys, "start", "_bin", F.sum("_rows").over(group).alias("_all"), *[F.sum(c).over(upto).alias(c) for c in names])
+    enough = F.least(F.col("_all"), F.floor((F.col("_all") + 4) / 2))
+    first = running.filter(F.col("_rows") >= enough).groupBy(*keys, "start").agg(F.min_by(F.struct(*names), "_bin").alias("_at"))
+    return settle(_fit_of(first.select(*keys, "start", "_at.*"), [*keys, "start"]))
 
 
-def _median(slim: DataFrame, keys: list[str], stat: str) -> DataFrame:
+def _median(vectors: DataFrame, keys: list[str], stat: str) -> DataFrame:
     """The lower median of an integer column in each group, from counts of its values."""
-    upto = Window.partitionBy(*keys).orderBy(stat)
-    counts = slim.groupBy(*keys, stat).agg(F.count("*").alias("_n"))
-    places = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    counts = vectors.groupBy(*keys, stat).agg(F.sum("_n").alias("_n"))
+    group = Window.partitionBy(*keys)
+    places = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy(stat)), "_all": F.sum("_n").over(group)})
     return places.filter("2 * _upto >= _all").groupBy(*keys).agg(F.min(stat).alias(stat))
 
 
+def _starts(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Fits to start from: the medians (start 0), and sets of up to four vectors drawn by hash with probability by count."""
+    medians = reduce(lambda x, y: x.join(y, keys), [_median(vectors, keys, s) for s in STATS])
+    zero = medians.select(*keys, F.lit(0).alias("start"), *[(F.col(s) / float(SCALE)).alias(f"m{i}") for i, s in enumerate(STATS)], *[F.lit(0.0).alias(f"c{i}{j}") for i, j in _PAIRS])
+    draws = []
+    for k in range(1, STARTS + 1):
+        dice = F.pmod(F.xxhash64(*STATS, F.lit(k)), F.lit(1 << 40))
+        late = -F.log((F.floor(dice / 4) + 0.5) / float(1 << 38)) / F.col("_n")
+        draws += [F.min_by("_packed", F.when(dice % 4 == part, late)).alias(f"_d{k}_{part}") for part in range(4)]
+    packed = reduce(lambda a, b: a * 65536 + b, [F.least(F.greatest(F.col(s), F.lit(0)), F.lit(65535)) for s in STATS])
+    drawn = vectors.withColumn("_packed", packed).groupBy(*keys).agg(*draws)
+    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.array_compact(F.array(*[F.col(f"_d{k}_{part}") for part in range(4)])).alias("of")) for k in range(1, STARTS + 1)]))
+    each = drawn.select(*keys, sets.alias("x")).select(*keys, "x.start", F.explode("x.of").alias("_p"))
+    rows = each.select(*keys, "start", F.lit(1).cast("long").alias("_n"), *[F.pmod(F.floor(F.col("_p") / 65536 ** (2 - i)), F.lit(65536)).alias(s) for i, s in enumerate(STATS)])
+    return settle(zero.unionByName(_fit_of(rows.groupBy(*keys, "start").agg(*_sums()), [*keys, "start"])))
+
+
+def minimum_determinants(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., start, _FIT, determinant): the fit with the least determinant of each group of vectors (keys, STATS, _n)."""
+    fits = _starts(vectors, keys)
+    by_determinant = Window.partitionBy(*keys).orderBy("determinant", "start")
+    for k in range(SHORT_STEPS + LONG_STEPS):
+        if k == SHORT_STEPS:
+            ranked = fits.withColumn("determinant", _determinant(_regular())).withColumn("_rank", F.row_number().over(by_determinant))
+            fits = settle(ranked.filter(F.col("_rank") <= BEST).drop("_rank", "determinant"))
+        fits = _step(vectors, fits, keys)
+    last = fits.withColumn("determinant", _determinant(_regular())).withColumn("_rank", F.row_number().over(by_determinant))
+    return last.filter("_rank = 1").drop("_rank")
+
+
 def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows plus distance: squared Mahalanobis distance to the estimate of the row's group. keys must not be null."""
-    slim = rows.select(*keys, *STATS)
-    start = reduce(lambda x, y: x.join(y, keys), [_median(slim, keys, s) for s in STATS])
-    fit = settle(start.select(*keys, *[(F.col(s) / float(SCALE)).alias(f"m{i}") for i, s in enumerate(STATS)], *[F.lit(FLOORS[i] ** 2 if i == j else 0.0).alias(f"c{i}{j}") for i, j in _PAIRS]))
-    few = fit.count() <= MOST_BROADCAST
-    for _ in range(STEPS):
-        fit = settle(_fitted(_nearest_half(_measured(slim, fit, keys), keys, few), keys))
-    return _measured(rows, fit, keys)
+    """rows plus distance: squared Mahalanobis distance to the reweighted estimate of the row's group. keys must not be null."""
+    vectors = settle(rows.groupBy(*keys, *STATS).agg(F.count("*").alias("_n")))
+    raw = settle(minimum_determinants(vectors, keys).drop("start", "determinant"))
+    near = vectors.join(_bounded(raw), keys).filter(_distance(_regular(consistency(0.5))) <= chi_square_quantile(REWEIGHT, len(STATS)))
+    fits = settle(_fit_of(near.groupBy(*keys).agg(*_sums()), keys))
+    return rows.join(_bounded(fits), keys).withColumn("distance", _distance(_regular(consistency(REWEIGHT)))).drop(*_FIT)
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -161,7 +243,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     Null texts are empty and fail the base rules. A null lang or source is a group of its own, apart from the
     empty string. Texts that fail the base rules are no part of the estimates. A group of equal rows, or of one,
-    rejects nothing. Repeated rows count each; other columns are ignored.
+    rejects nothing. Repeated rows count each, and rows with equal statistics tie; other columns are ignored.
     """
     df = documents.select("doc_id", F.col("text").cast("string").alias("text"), *[F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{c}") for c in ("lang", "source")])
     repeated = 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")

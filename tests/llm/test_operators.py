@@ -3,6 +3,7 @@
 import collections
 import datetime
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -782,6 +783,61 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert {k for k, r in got.items() if not r.kept} == {k for k in range(300) if k % 20 == 0} and not any(r.base_failed for r in got.values())
 
 
+def test_chi_square():
+    # values of the published tables for 3 and 5 degrees of freedom
+    assert outliers.chi_square_quantile(0.975, 3) == pytest.approx(9.348, abs=1e-3) and outliers.chi_square_quantile(0.999, 3) == pytest.approx(16.266, abs=1e-3)
+    assert outliers.chi_square(11.070, 5) == pytest.approx(0.95, abs=1e-4) and outliers.chi_square(0.0, 5) == 0.0
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200_000, 3))
+    half = x[np.argsort((x**2).sum(axis=1))[:100_000]]
+    assert half.var() * outliers.consistency(0.5) == pytest.approx(1.0, abs=0.02)
+
+
+def test_minimum_determinant_by_all_subsets(spark):
+    """Small groups: the least determinant over every half is found, and distances are those of the reweighted estimate."""
+    rng = np.random.default_rng(7)
+    floors = np.diag(np.square(outliers.FLOORS))
+    groups, rows = {}, []
+    for g in range(12):
+        z = np.abs(rng.normal([600, 300, 1800], [500, 300, 250], size=(10, 3)))
+        z[:3] += rng.uniform(3000, 6000, size=(3, 3))
+        groups[g] = z.astype(int)
+        rows += [(f"g{g}", *map(int, v), g * 100 + k) for k, v in enumerate(groups[g])]
+    rows += [*rows[:10]]  # a group whose rows all come twice
+    df = spark.createDataFrame(rows, "_g string, z_symbols long, z_lines long, z_word long, id long")
+    vectors = df.groupBy("_g", *outliers.STATS).agg(F.count("*").alias("_n"))
+    got = {r._g: r.determinant for r in outliers.minimum_determinants(vectors, ["_g"]).collect()}
+    cov = lambda x: np.cov(x.T, bias=True) + floors
+    missed = 0
+    for g, z in groups.items():
+        if g == 0:
+            continue
+        least = min(np.linalg.det(cov(z[list(c)] / 1000)) for c in itertools.combinations(range(10), 7))
+        assert got[f"g{g}"] >= least * (1 - 1e-9)
+        missed += got[f"g{g}"] > least * 1.001
+    assert missed <= 1
+    distances = collections.defaultdict(dict)
+    for r in outliers.robust_distances(df, ["_g"]).collect():
+        distances[r._g][r.id % 100] = r.distance
+    for g, z in groups.items():
+        if g == 0:
+            continue
+        best = min((list(c) for c in itertools.combinations(range(10), 7)), key=lambda c: np.linalg.det(cov(z[c] / 1000)))
+        x = z / 1000
+        measure = lambda part, factor: np.einsum("ij,jk,ik->i", x - x[part].mean(axis=0), np.linalg.inv(np.cov(x[part].T, bias=True) * factor + floors), x - x[part].mean(axis=0))  # noqa: E731,B023
+        near = np.flatnonzero(measure(best, outliers.consistency(0.5)) <= outliers.chi_square_quantile(0.975, 3))
+        want = measure(near, outliers.consistency(0.975))
+        if got[f"g{g}"] <= np.linalg.det(cov(z[best] / 1000)) * (1 + 1e-9):
+            assert np.allclose([distances[f"g{g}"][k] for k in range(10)], want)
+
+
+def test_quality_rules_long_text(spark):
+    """A text of a million words is taken whole."""
+    text = " ".join(f"w{k % 99_991}" for k in range(1_000_000))
+    r = outliers.text_statistics(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_repeat_words) == (1_000_000, 1_000_000)
+
+
 def test_quality_rules_odd_rows(odd, empty):
     rows = outliers.quality_rules(odd).collect()
     assert len(rows) == len(ODD)
