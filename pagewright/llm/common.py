@@ -162,6 +162,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
+def repeated(df: DataFrame, copies: str, most: int = 1024) -> DataFrame:
+    """Each row of a written df as often as its column copies says, without that column; long runs are dealt to all tasks."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(most).cast("long")))
+    parts = df.filter(F.col(copies) > most).withColumn("_part", part).repartition("_part", *[c for c in df.columns if c != copies][:1])
+    many = parts.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most), F.col(copies) - F.col("_part"))))).drop("_part")
+    few = df.filter(F.col(copies).between(1, most)).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return few.unionByName(many).drop("_each", copies)
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of df plus more fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import mix, passes, powers, read_table, texts_of, with_fields
+from pagewright.llm.common import mix, passes, powers, read_table, repeated, settle, texts_of, with_fields
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -137,13 +137,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _compared(pairs: Iterator[tuple[int | None, str, str]]):
-    """Rows of the result for (doc_id, text, next text), a few hundred at a time."""
-    held: list[tuple[int | None, str, str]] = []
+def _compared(pairs: Iterator[tuple[int | None, int, str, str]]):
+    """Rows of the result for (doc_id, copies, text, next text), a few hundred at a time."""
+    held: list[tuple[int | None, int, str, str]] = []
     size = 0
     for pair in pairs:
         held.append(pair)
-        size += len(pair[1])
+        size += len(pair[2])
         if size > 2_000_000 or len(held) >= 2000:
             yield _rows(held)
             held, size = [], 0
@@ -155,8 +155,8 @@ def _marks(texts: list[str]) -> list[str]:
     return fingerprints(*texts_of(pa.array(texts, pa.large_string())))
 
 
-def _rows(held: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
-    ids, texts, following = zip(*held, strict=True)
+def _rows(held: list[tuple[int | None, int, str, str]]) -> pa.RecordBatch:
+    ids, copies, texts, following = zip(*held, strict=True)
     changed = [edited(x, y) for x, y in zip(texts, following, strict=True)]
     own = _marks([*texts, following[-1]])
     # the next document of a row is the row after it, but for the seams of the partitions
@@ -172,29 +172,65 @@ def _rows(held: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
             pa.array(marks),
             pa.array(likeness(own, marks)),
             pa.array(likeness(own, after)),
+            pa.array(copies, pa.int64()),
         ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies"],
     )
 
 
-def _last_first(texts: DataFrame, rows_per_slice: int) -> tuple[np.ndarray, dict[int, int], dict[int, int]]:
-    """Lower bounds of slices of the places, the first place of each slice, and the slice before it. All bounded by MOST_SLICES."""
-    places = texts.select("place")
-    slices = max(1, min(MOST_SLICES, -(-places.count() // rows_per_slice)))
-    bounds = places.stat.approxQuantile("place", [k / slices for k in range(1, slices)], 0.25 / slices) if slices > 1 else []
-    cuts = np.unique(np.array(bounds, np.float64)).astype(np.int64)
+#: Slices of one hot place are numbered within this.
+_SUB = 1 << 20
 
-    def least(batches):
-        seen: dict[int, int] = {}
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            for k in np.unique(s := np.searchsorted(cuts, at, "right")):
-                seen[int(k)] = min(seen.get(int(k), 2**63 - 1), int(at[s == k].min()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["slice", "first"])
 
-    found = places.mapInArrow(least, "slice long, first long").groupBy("slice").agg(F.min("first").alias("first")).orderBy("slice").collect()
-    order = [r["slice"] for r in found]
-    return cuts, {r["slice"]: r["first"] for r in found}, dict(zip(order, [*order[-1:], *order[:-1]], strict=True))
+class _Slices:
+    """Where documents are dealt to: ranges of places, and for a place of many rows ranges of marks within it.
+
+    All of it is bounded by MOST_SLICES. first holds the first (place, mark) of each slice, mark being -1 where the
+    slice is no part of a hot place; before the slice before it.
+    """
+
+    def __init__(self, texts: DataFrame, rows_per_slice: int):
+        places = texts.select("place")
+        n = places.count()
+        slices = max(1, min(MOST_SLICES, -(-n // rows_per_slice)))
+        crowded = places.groupBy("place").count().filter(F.col("count") > max(4 * rows_per_slice, 4 * n // MOST_SLICES)).collect() if n > 4 * rows_per_slice else []
+        self.hot = {r["place"]: min(_SUB, -(-r["count"] * slices // n)) for r in crowded}
+        bounds = places.stat.approxQuantile("place", [k / slices for k in range(1, slices)], 0.25 / slices) if slices > 1 else []
+        own = [p + k for p in self.hot for k in (0, 1) if p + k < 2**63 - 1 or k == 0]
+        self.cuts = np.unique(np.array([*(min(int(b), 2**63 - 1) for b in bounds), *own], np.int64))
+        found = self._least(places.filter(~F.col("place").isin(*self.hot)) if self.hot else places, False)
+        if self.hot:
+            found += self._least(texts.filter(F.col("place").isin(*self.hot)).select("place", "text"), True)
+        order = sorted(found)
+        self.first = {s: (p, m) for s, p, m in order}
+        names = [s for s, _, _ in order]
+        self.before = dict(zip(names, [*names[-1:], *names[:-1]], strict=True))
+
+    def of(self, places: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.cuts, places, "right").astype(np.int64) * _SUB
+        for p, parts in self.hot.items():
+            at = places == p
+            out[at] += (marks[at] >> 32) * parts >> 31
+        return out
+
+    def _least(self, rows: DataFrame, marked: bool) -> list[tuple[int, int, int]]:
+        """(slice, place, mark) of the first row of each slice."""
+        of = self.of
+
+        def least(batches):
+            seen: dict[int, tuple[int, int]] = {}
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                marks = np.array([xxhash.xxh3_64_intdigest((t or "").encode()) >> 1 for t in batch.column(1).to_pylist()], np.int64) if marked else np.full(len(at), -1)
+                order = np.lexsort((marks, at))
+                at, marks = at[order], marks[order]
+                for s, k in zip(*np.unique(of(at, np.maximum(marks, 0)), return_index=True), strict=True):
+                    here = int(at[k]), int(marks[k])
+                    seen[int(s)] = min(seen.get(int(s), here), here)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["slice", "place", "mark"])
+
+        found = rows.mapInArrow(least, "slice long, place long, mark long").groupBy("slice").agg(F.min(F.struct("place", "mark")).alias("at"))
+        return [(r["slice"], r["at"]["place"], r["at"]["mark"]) for r in found.collect()]
 
 
 def compare_with_next(documents: DataFrame, rows_per_slice: int = 512) -> DataFrame:
@@ -202,50 +238,66 @@ def compare_with_next(documents: DataFrame, rows_per_slice: int = 512) -> DataFr
 
     Documents are dealt once, by slices of doc_id, so that neighbours meet in one task; only the first document of
     a slice travels twice, to the slice before. Null doc_ids come last; documents with equal doc_id follow each
-    other in the order of a hash of their texts. After the last comes the first, and a single document is its own
-    next. Null texts are empty. Other columns are ignored.
+    other in the order of a hash of their texts, and where they are many (a third of all rows may lack a doc_id) they
+    are dealt by ranges of that hash. Equal texts of such a doc_id travel once from each task, with a count. After the
+    last comes the first, and a single document is its own next. Null texts are empty. Other columns are ignored.
     """
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("place"))
-    cuts, first, before = _last_first(texts, rows_per_slice)
+    slices = _Slices(texts, rows_per_slice)
+    names = ["slice", "guest", "place", "mark", "extra", "doc_id", "copies", "packed"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
+        seen: dict[tuple[int | None, int], list] = {}
         for batch in batches:
             at = batch.column("place").to_numpy()
-            of = np.searchsorted(cuts, at, "right")
-            packed, marks = [], []
-            for text in batch.column("text").to_pylist():
-                raw = (text or "").encode()
-                packed.append(pack(raw))
-                marks.append(xxhash.xxh3_64_intdigest(raw) >> 1)
-            own = pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.zeros(len(of), np.int32)), batch.column("place"), pa.array(marks, pa.int64()), batch.column("doc_id"), pa.array(packed, pa.binary())], ["slice", "guest", "place", "mark", "doc_id", "packed"])
-            yield own
-            opens = np.array([first[int(s)] == p for s, p in zip(of, at, strict=True)], bool)
-            if opens.any():
-                guests = own.filter(pa.array(opens))
-                to = [before[s] for s in guests.column("slice").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(to), np.int32)), *guests.columns[2:]], own.schema.names)
+            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            marks = np.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in raw], np.int64)
+            rows = []
+            for s, p, m, doc_id, text in zip(slices.of(at, marks).tolist(), at.tolist(), marks.tolist(), batch.column("doc_id").to_pylist(), raw, strict=True):
+                if p in slices.hot:
+                    again = seen.setdefault((doc_id, m), [s, 0, p, m, 1, doc_id, -1, None])
+                    again[6] += 1
+                    if again[6]:
+                        continue
+                packed = pack(text)
+                rows.append((s, 0, p, m, 0, doc_id, 1, packed))
+                if p == slices.first[s][0] and slices.first[s][1] in (-1, m):
+                    rows.append((slices.before[s], 1, p, m, 0, doc_id, 1, packed))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+        more = [r for r in seen.values() if r[6]]
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*more, strict=True), kinds, strict=True)], names)
 
     def meet(batches):
         unpack = zstandard.ZstdDecompressor().decompress
 
         def pairs():
-            last, of = None, None
+            last, of = None, None  # [doc_id, place, mark, copies, text]
             for batch in batches:
-                for s, guest, doc_id, packed in zip(*(batch.column(k).to_pylist() for k in ("slice", "guest", "doc_id", "packed")), strict=True):
+                for s, guest, p, m, _, doc_id, copies, packed in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
                     if last is None and s == of:
-                        continue  # another row of equal doc_id at the seam
+                        continue  # another guest
+                    if s == of and not guest and [doc_id, p, m] == last[:3]:
+                        last[3] += copies
+                        continue
                     text = unpack(packed).decode()
                     if s == of:
-                        yield (*last, text)
-                    last, of = (None if guest else (doc_id, text)), s
+                        if last[3] > 1:
+                            yield last[0], last[3] - 1, last[4], last[4]
+                        yield last[0], 1, last[4], text
+                    last, of = (None if guest else [doc_id, p, m, copies, text]), s
 
         yield from _compared(pairs())
 
-    dealt = texts.mapInArrow(deal, "slice long, guest int, place long, mark long, doc_id long, packed binary")
-    near = dealt.repartition("slice").sortWithinPartitions("slice", "guest", "place", "mark")
-    return near.mapInArrow(meet, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = texts.mapInArrow(deal, "slice long, guest int, place long, mark long, extra int, doc_id long, copies long, packed binary")
+    near = dealt.repartition("slice").sortWithinPartitions("slice", "guest", "place", "mark", "doc_id", "extra")
+    out = near.mapInArrow(meet, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long")
+    if slices.hot:
+        return repeated(settle(out), "copies")
+    return out.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_each", "copies")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

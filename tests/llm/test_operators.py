@@ -138,6 +138,39 @@ def test_mix_meets_targets_and_repeats(spark):
     assert times == {r.doc_id: r.times for r in rows if r.times}
 
 
+def test_mix_takes_the_right_ones_of_a_doc_id(spark):
+    """Rows that share a doc_id are taken as often as the queue says, each with its own text."""
+    rows = [(k % 5 if k % 3 else None, f"t{k} " + "w " * (k % 4), f"s{k % 2}") for k in range(200)] + [(None, "same text", "s0")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    docs = docs.withColumn("times", F.lit("clash"))
+    queue = mixing.weighted_fair_queue(docs)
+    want = collections.Counter()
+    for r in queue.collect():
+        want[r.doc_id, r.source, r["size"]] += r.times
+    got, texts = collections.Counter(), collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        assert r.times == "clash"
+        got[r.doc_id, r.source, len(WORD.findall(r.text))] += 1
+        texts[r.doc_id, r.text, r.source] += 1
+    assert got == +want
+    have = collections.Counter(rows)
+    assert all(texts[k] <= 2 * have[k] for k in texts)
+
+
+def test_mix_spreads_null_ids(spark):
+    """100,000 rows without doc_id are dealt to all tasks: no window partition or expanded part holds many of them."""
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.expr("concat('a', repeat(' w', cast(id % 300 as int)))").alias("text"), F.lit("s").alias("source"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queue = mixing.weighted_fair_queue(docs)
+        per_task = [r["count"] for r in queue.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(per_task) == 100_000 and max(per_task) <= 50_000
+    total = sum(1 + k % 300 for k in range(100_000))
+    assert abs(queue.agg(F.sum("taken")).first()[0] - 1.5 * total) <= 300
+
+
 # --- 2 BPE
 
 
@@ -333,6 +366,29 @@ def test_next_document(spark, per_slice):
         assert r.fingerprint == plain_fingerprint(text) and r.edited_fingerprint == plain_fingerprint(changed)
 
 
+@pytest.mark.parametrize("per_slice", [16, 64])
+def test_next_document_without_ids(spark, per_slice, monkeypatch):
+    """Many rows without doc_id, or with one doc_id, and many equal rows among them: each next one by brute force, dealt to many slices."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprint, "MOST_SLICES", 40)
+    rng = random.Random(2)
+    texts = made_up(60)
+    rows = [(None, f"{rng.choice(texts)} {k % 400}") for k in range(900)] + [(None, None)] * 700 + [(5, f"x{k} {rng.choice(texts)}") for k in range(300)] + [(k, rng.choice(texts)) for k in range(300)] + [(2**63 - 1, "last"), (2**63 - 1, "")]
+    rng.shuffle(rows)
+    order = sorted(((2**63 - 1 if i is None else i, xxhash.xxh3_64_intdigest((t or "").encode()) >> 1, i is not None, i, t or "") for i, t in rows), key=lambda x: x[:3])
+    want = collections.Counter()
+    for k, (*_, i, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][4], len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest(), plain_fingerprint(t)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.compare_with_next(df, per_slice)
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in got.collect()) == want
+    place = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    slices = fingerprint._Slices(df.select("doc_id", "text", place.alias("place")), per_slice)
+    assert sum(s // fingerprint._SUB == max(slices.first) // fingerprint._SUB for s in slices.first) >= 5
+
+
 def test_fingerprint_odd_rows(spark, odd, empty):
     assert fingerprint.compare_with_next(odd).count() == len(ODD)
     assert fingerprint.compare_with_next(odd, 1).count() == len(ODD)
