@@ -10,6 +10,9 @@ Links are found in two rounds, and no group is ever expanded into all its pairs:
 1. in each bucket of each band every class meets one hub of the bucket (another in each band);
 2. in each bucket whose other members still lie in different components, sketches are compared in blocks; the
    classes with a partner that the likelihood leaves open bring their full sets to the block, which settles them.
+   A crowded bucket, as boilerplate makes it, is first split by FINER keys of ROWS further registers each, again and
+   again until its parts are small. A pair at 0.75 shares 12 buckets on average and one of the finer keys with
+   p = 0.75, so it is lost with p = 3e-5 if all its buckets are split once, and 4e-4 if all are split twice.
 
 Pairs are kept if the joint likelihood of both sketches, at the known set sizes, does not rule the threshold out,
 and are then confirmed on the full sets. Connected components of the confirmed links are the result.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ BASE = 1.1
 LEAST_LIKELY = 0.58
 #: Rows of a block when sketches of one bucket are compared.
 BLOCK = 512
+#: A bucket of more members is split, each member going to FINER parts, at most LEVELS times.
+CROWDED, FINER, LEVELS = 1024, 5, 6
 
 _SPICE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -123,11 +129,12 @@ def _plausible(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _blockwise(batches):
+def _blockwise(batches, once: bool):
     """For each class of a block with an open partner in another component: a row with its partners.
 
-    A pair counts only in the first band that it shares, so it is looked at once. Partners are lists, at most
-    BLOCK long; classes that are only a partner get a row with an empty list.
+    With once, a pair counts only in the first band that it shares, so it is looked at once; where buckets were split
+    it may not meet there, so it counts wherever it does. Partners are lists, at most BLOCK long; classes that are
+    only a partner get a row with an empty list.
     """
     for block in grouped(batches, "block_key"):
         rep, comp, n, band, side = (block.column(k).to_numpy() for k in ("rep", "component", "n_shingles", "band", "side"))
@@ -142,7 +149,7 @@ def _blockwise(batches):
             if not len(js):
                 continue
             agree = (regs[js] == regs[i]).all(axis=2)
-            js = js[agree[:, band[i]] & (agree.argmax(axis=1) == band[i])]
+            js = js[agree[:, band[i]] & ((agree.argmax(axis=1) == band[i]) if once else (rep[js] != rep[i]))]
             if not len(js):
                 continue
             flat = regs[js].reshape(len(js), -1)
@@ -163,21 +170,26 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = _common(x, y)
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _block_links(batches):
     """Confirmed links of the open pairs of each block: one for each class and component that it links to."""
     for block in grouped(batches, "block_key"):
         reps, comps = block.column("rep").to_pylist(), dict(zip(block.column("rep").to_pylist(), block.column("component").to_pylist(), strict=True))
-        sets = {r: np.frombuffer(x.as_buffer(), np.uint64) for r, x in zip(reps, block.column("shingles"), strict=True)}
+        sets: dict[int, list[np.ndarray]] = {}
+        for r, x in zip(reps, block.column("shingles"), strict=True):
+            sets.setdefault(r, []).append(np.frombuffer(x.as_buffer(), np.uint64))  # several, if a doc_id has several texts
         a, b = [], []
-        for r, partners in zip(reps, block.column("partners").to_pylist(), strict=True):
+        for r, partners in dict(zip(reps, block.column("partners").to_pylist(), strict=True)).items():
             reached = set()
             for q in partners:
-                if q in sets and comps[q] not in reached:
-                    both = _common(sets[r], sets[q])
-                    if 100 * both >= PERCENT * (len(sets[r]) + len(sets[q]) - both):
-                        reached.add(comps[q])
-                        a.append(r)
-                        b.append(q)
+                if q in sets and comps[q] not in reached and any(_linked(x, y) for x in sets[r] for y in sets[q]):
+                    reached.add(comps[q])
+                    a.append(r)
+                    b.append(q)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -186,8 +198,7 @@ def _verified(batches):
         keep = []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = _common(x, y)
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(_linked(x, y))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -212,7 +223,8 @@ def _bands(classes: DataFrame, *more: str) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents (doc_id, text).
 
-    Null and empty texts have no shingles and no links. Rows that repeat a doc_id are one document with several
+    Null and empty texts have no shingles and no links; a text of any length is shingled whole, and its set is what a
+    task holds of it. Rows that repeat a doc_id are one document with several
     texts: each gets a row, and their links are joined. A row without doc_id takes part in nothing; its
     component_id is null and kept is true. Other columns are ignored.
     """
@@ -255,24 +267,52 @@ def _labelled(rows: DataFrame, within: DataFrame, joined: DataFrame) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links_between(shared: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components among the members of a bucket besides its hub.
+def _mixed(held: DataFrame) -> DataFrame:
+    """The rows (rep, component, band, bucket) of buckets whose members lie in several components, with members."""
+    mixed = held.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket", "members")
+    return held.join(mixed, "bucket")
+
+
+def _split(crowd: DataFrame, placed: DataFrame, level: int) -> DataFrame:
+    """Crowded buckets by FINER keys of ROWS registers drawn by level, band and number: (rep, component, band, bucket)."""
+    place = lambda j, t: F.pmod(F.xxhash64(F.lit(level), F.col("band"), j, F.lit(t)), F.lit(BANDS * ROWS)).cast("int")
+    key = lambda j: F.xxhash64("bucket", j, *[F.substring("sketch", place(j, t) + 1, F.lit(1)) for t in range(ROWS)])
+    finer = F.explode(F.transform(F.array(*map(F.lit, range(FINER))), key))
+    return crowd.select("rep", "component", "band", "bucket").join(placed.select("rep", "sketch"), "rep").select("rep", "component", "band", finer.alias("bucket"))
 
-    shared has the members (rep, band, bucket, members, hub) without the hubs themselves. A bucket of m members
-    is cut into m / BLOCK chunks and each two chunks meet in one block, so a row is copied m / BLOCK times, and no
-    task holds more than two chunks.
+
+def _block_members(shared: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
+    """(rep, band, block_key, side) of the blocks in which sketches are compared, and whether no bucket was split.
+
+    shared has the members (rep, band, bucket, members, hub) without the hubs themselves. A part of m members is cut
+    into m / BLOCK chunks and each two chunks meet in one block, so a row is copied CROWDED / BLOCK times for each
+    part that it is in, and no task holds more than two chunks. Only what LEVELS splits leave crowded is copied more.
     """
     # a class is in at most BANDS buckets, so its component is joined once to the list of them
-    lists = shared.filter("members > 2").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "members")).alias("at"))
+    lists = shared.filter("members > 2").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket")).alias("at"))
     held = lists.join(placed.select("rep", "component"), "rep").select("rep", "component", F.explode("at").alias("x")).select("rep", "component", "x.*")
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket")
+    now = settle(_mixed(held))
+    parts = [now.filter(F.col("members") <= CROWDED)]
+    crowd = now.filter(F.col("members") > CROWDED)
+    level = 0
+    while level < LEVELS and not crowd.isEmpty():
+        now = settle(_mixed(_split(crowd, placed, level)))
+        parts.append(now.filter(F.col("members") <= CROWDED))
+        crowd = now.filter(F.col("members") > CROWDED)
+        level += 1
+    members = reduce(DataFrame.unionByName, [*parts, crowd])
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(k >= F.col("own"), 0).otherwise(1).alias("side")))
-    members = held.join(mixed, "bucket", "left_semi").withColumn("chunks", chunks).withColumn("own", own).select("rep", "band", "bucket", F.explode(cells).alias("cell"))
-    members = members.select("rep", "band", F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side"))
+    members = members.withColumn("chunks", chunks).withColumn("own", own).select("rep", "band", "bucket", F.explode(cells).alias("cell"))
+    return members.select("rep", "band", F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side")), level == 0
+
+
+def _links_between(shared: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components among the members of a bucket besides its hub."""
+    members, once = _block_members(shared, placed)
     blocks = members.join(placed, "rep").repartition("block_key").sortWithinPartitions("block_key")
-    found = settle(blocks.select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(_blockwise, "block_key long, rep long, component long, partners array<long>"))
+    found = settle(blocks.select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(lambda batches: _blockwise(batches, once), "block_key long, rep long, component long, partners array<long>"))
     sets = _sets_of(texts, found.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     ready = found.join(sets, "rep").repartition("block_key").sortWithinPartitions("block_key")
     return ready.select("block_key", "rep", "component", "partners", "shingles").mapInArrow(_block_links, "a long, b long").distinct()

@@ -237,6 +237,34 @@ def test_near_duplicates_star(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
+    """Texts with much boilerplate and pairs at a likeness of 0.753: no row is copied often, and the pairs are found."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 128)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    rng = random.Random(1)
+    boiler, rows, n = " ".join(f"b{k}" for k in range(40)), [], 1500
+    for k in range(n):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(35)]
+        rows.append((2 * k, f"{boiler} {' '.join(own)}"))
+        own[rng.randrange(6, 14)], own[rng.randrange(22, 30)] = "x", "y"
+        rows.append((2 * k + 1, f"{boiler} {' '.join(own)}"))
+    likeness = [len(a & b) / len(a | b) for a, b in ((shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])) for k in range(50))]
+    assert 0.75 <= min(likeness) and max(likeness) <= 0.80
+    seen, members = [], near_dedup._block_members
+
+    def counted(*given):
+        blocks, once = members(*given)
+        blocks = near_dedup.settle(blocks)
+        seen.append((blocks.count(), blocks.groupBy("block_key").count().agg(F.max("count")).first()[0], once))
+        return blocks, once
+
+    monkeypatch.setattr(near_dedup, "_block_members", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies, largest, once = seen[0]
+    assert not once and copies <= 60 * len(rows) and largest <= 4 * 64
+    assert sum(got[2 * k + 1] == 2 * k for k in range(n)) >= 0.99 * n and all(got[2 * k] == 2 * k for k in range(n))
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     got = collections.defaultdict(list)
