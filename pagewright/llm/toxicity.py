@@ -20,14 +20,15 @@ from pagewright.llm.common import is_held_out, labelled_sample, mix, passes, rea
 
 #: Bound on the labelled rows that are learned from.
 MOST_LABELLED = 8_000
-#: Hash space of features, and how many of them a model may use.
+#: Hash space of features, and how many of them a model may use, the most telling first (a parameter of the model's size).
 SPACE, MOST_FEATURES = 1 << 20, 4096
 #: Beginnings of words, in bytes, that are features besides the whole word.
 BEGINNINGS = (4, 5, 6)
 #: A feature must be in so many texts of the category, and so many times as frequent there as elsewhere.
 LEAST_TEXTS, LEAST_LIFT = 4, 4.0
 FOLDS, STEPS, RATE, RIDGE = 5, 150, 0.5, 1e-4
-MOST_LANGUAGES = 8
+#: A language is a category of its own from so many toxic labelled rows on; all rows count in the last category.
+LEAST_OF_LANGUAGE = 5
 #: Toxic from this probability on.
 ACCEPT = 0.3
 
@@ -74,6 +75,11 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _lift(yes: np.ndarray, every: np.ndarray, positive: float, n: int) -> np.ndarray:
+    """How many times as frequent each feature is in the positive texts as in the others."""
+    return (yes / positive) / ((every - yes + 0.5) / (n - positive + 0.5))
+
+
 def fit_linear(row: np.ndarray, feature: np.ndarray, before: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear:
     """Fit on the rows of use: features are chosen by lift among them, weights by full-batch gradient steps with momentum."""
     n, positive = int(use.sum()), float(y[use].sum())
@@ -83,7 +89,7 @@ def fit_linear(row: np.ndarray, feature: np.ndarray, before: np.ndarray, y: np.n
     inside = use[row]
     r, f = row[inside], feature[inside]
     yes, every = np.bincount(f[(y > 0)[r]], minlength=SPACE), np.bincount(f, minlength=SPACE)
-    lift = (yes / positive) / ((every - yes + 0.5) / (n - positive + 0.5))
+    lift = _lift(yes, every, positive, n)
     able = np.flatnonzero((yes >= LEAST_TEXTS) & (lift >= LEAST_LIFT))
     picked = np.sort(able[np.argsort(-yes[able] * np.log(lift[able]), kind="stable")[:MOST_FEATURES]])
     at = _places(picked)[f]
@@ -139,7 +145,11 @@ def fit_chain(row: np.ndarray, feature: np.ndarray, targets: dict[str, np.ndarra
 
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = MOST_LABELLED) -> Chain:
-    """Learn from about bound labelled rows, none of them held out; their hashed features reach the driver."""
+    """Learn from about bound labelled rows, none of them held out; their hashed features reach the driver.
+
+    Rows without doc_id have no label and are not learned from; a repeated doc_id counts once a row, and a doc_id
+    labelled twice takes the larger label. A text of any length brings each feature once.
+    """
 
     def gather(batches):
         for batch in batches:
@@ -155,21 +165,29 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = MOST_LABELLED) -
     y = (rows["toxic"].to_numpy() > 0).astype(float)
     lang = np.array([x or "" for x in rows["lang"].to_pylist()], object)
     names, counts = np.unique(lang[y > 0].astype(str), return_counts=True)
-    languages = names[np.argsort(-counts, kind="stable")][:MOST_LANGUAGES]
+    languages = [names[k] for k in np.argsort(-counts, kind="stable") if counts[k] >= LEAST_OF_LANGUAGE]
     targets = {f"toxic_{x}": y * (lang == x) for x in languages} | {"toxic": y}
-    row, feature = _features_in_reach(rows["x"], y)
-    return fit_chain(row, feature, targets, rows["doc_id"].to_numpy())
+    ids = rows["doc_id"].to_numpy()
+    row, feature = features_in_reach(rows["x"], targets, ids)
+    return fit_chain(row, feature, targets, ids)
 
 
-def _features_in_reach(sets: pa.ChunkedArray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the features that some fold could pick: in enough toxic texts, and not in most texts.
-
-    A feature of LEAST_LIFT is in at most 1 / LEAST_LIFT of the texts outside its category; folds differ from the whole by less than 0.02.
-    """
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in sets.chunks)]).astype(np.int64))
+def features_in_reach(sets: pa.ChunkedArray, targets: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the features that some link can pick: counted for each category, with each fold left out and with none."""
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in sets.chunks)]).astype(np.int64))
     feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in sets.chunks)]).astype(np.int32)
-    toxic, every = np.bincount(feature[(y > 0)[row]], minlength=SPACE), np.bincount(feature, minlength=SPACE)
-    able = (toxic >= LEAST_TEXTS) & (every <= y.sum() + (len(y) - y.sum()) / LEAST_LIFT + 0.02 * len(y))
+    fold = ids % FOLDS
+    counted = lambda rows: np.bincount(feature[rows[row]], minlength=SPACE).astype(np.int32)
+    every = [counted(fold == k) for k in range(FOLDS)]
+    able = np.zeros(SPACE, bool)
+    for y in targets.values():
+        yes = [counted((fold == k) & (y > 0)) for k in range(FOLDS)]
+        for left_out in range(FOLDS + 1):
+            use = fold != left_out
+            n, positive = int(use.sum()), float(y[use].sum())
+            if 0 < positive < n:
+                here, there = (sum(x[k] for k in range(FOLDS) if k != left_out) for x in (yes, every))
+                able |= (here >= LEAST_TEXTS) & (_lift(here, there, positive, n) >= LEAST_LIFT)
     keep = able[feature]
     return row[keep], feature[keep]
 
@@ -177,8 +195,8 @@ def _features_in_reach(sets: pa.ChunkedArray, y: np.ndarray) -> tuple[np.ndarray
 def score_toxicity(documents: DataFrame, model: Chain) -> DataFrame:
     """documents plus categories (map of the chain's probabilities), score (the last one) and toxic (from ACCEPT on).
 
-    Whole texts in one pass without a shuffle. Null and empty texts have no features. Columns of those names are
-    replaced, all others kept.
+    Whole texts in one pass without a shuffle. Null and empty texts have no features. Rows are scored one by one, so
+    null or repeated doc_ids change nothing, and equal texts tie. Columns of those names are replaced, all others kept.
     """
     df = documents.drop("categories", "score", "toxic")
     names = df.columns
