@@ -220,6 +220,15 @@ def terms_of(query: Query, positive_only: bool = False) -> list[Term]:
     return [t for p in query.parts for t in terms_of(p, positive_only)]
 
 
+def needs_hit(query: Query) -> bool:
+    """Whether every match holds some term of the query; false where leaving words out is enough."""
+    if isinstance(query, Not):
+        return False
+    if isinstance(query, (Term, Phrase)):
+        return True
+    return (any if isinstance(query, And) else all)(needs_hit(p) for p in query.parts)
+
+
 def _is(lexeme: Column, term: Term) -> Column:
     return F.startswith(lexeme, F.lit(term.lexeme)) if term.prefix else lexeme == term.lexeme
 

@@ -59,9 +59,25 @@ def word_similarity(term: str, text: str) -> float:
     return best_match(frozenset(trigrams(term)), trigrams(text))
 
 
+#: What lies between words, JVM-side: the same class as words_of splits on. Combining marks part words in both.
+_GAP = r"[^\p{L}\p{N}]+"
+
+
 def _spaced(column: Column) -> Column:
     """Words with their padding; three spaces part them, so no trigram of a word occurs across a border."""
-    return F.concat(F.lit("  "), F.regexp_replace(F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}\p{M}]+", " ")), " ", "   "), F.lit(" "))
+    return F.concat(F.lit("  "), F.regexp_replace(F.trim(F.regexp_replace(F.lower(column), _GAP, " ")), " ", "   "), F.lit(" "))
+
+
+def trigram_column(column: Column) -> Column:
+    """The distinct trigrams of a text, JVM-side; null gives none."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), _GAP), "")
+    of_word = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(words, of_word)))
+
+
+def least_shared(term: str, least: float) -> int:
+    """How many of the term's trigrams a text must hold to reach a similarity."""
+    return math.ceil(least * len(set(trigrams(term))) - 1e-9)
 
 
 def may_match(column: Column, term: str, least: float) -> Column:
@@ -71,7 +87,7 @@ def may_match(column: Column, term: str, least: float) -> Column:
         return F.lit(False)
     spaced = _spaced(column)
     held = sum((F.contains(spaced, F.lit(g)).cast("int") for g in wanted), F.lit(0))
-    return held >= math.ceil(least * len(wanted) - 1e-9)
+    return held >= least_shared(term, least)
 
 
 def distance(column: Column, term: str, greatest: float) -> Column:

@@ -30,7 +30,7 @@ def restrict(df: DataFrame, entity: Entity, keys: Sequence[Any]) -> DataFrame:
     return df.join(F.broadcast(wanted) if len(keys) <= MOST_BROADCAST else wanted, list(entity.key_columns), "left_semi")
 
 
-def _hop_table(tables: Tables, hop: Hop, with_where: bool) -> DataFrame:
+def hop_table(tables: Tables, hop: Hop, with_where: bool = True) -> DataFrame:
     df = tables(hop.table)
     if with_where and hop.where:
         df = df.alias(hop.alias).filter(F.expr(hop.where.replace("{c}", hop.alias)))
@@ -46,7 +46,7 @@ def along(tables: Tables, base: DataFrame, key: Sequence[str], hops: Sequence[Ho
     link = first.referenced_key if first.many else first.foreign_key
     now = base.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.col(link).alias("_link"))
     for i, hop in enumerate(hops):
-        table = _hop_table(tables, hop, with_where)
+        table = hop_table(tables, hop, with_where)
         target = hop.foreign_key if hop.many else hop.referenced_key
         if i + 1 < len(hops):
             onward = hops[i + 1].referenced_key if hops[i + 1].many else hops[i + 1].foreign_key
@@ -57,6 +57,26 @@ def along(tables: Tables, base: DataFrame, key: Sequence[str], hops: Sequence[Ho
     return now.select(*[F.col(f"_k{j}").alias(c) for j, c in enumerate(key)], F.col("_link").alias("value"))
 
 
+def owners_with(tables: Tables, base: DataFrame, key: Sequence[str], hops: Sequence[Hop], leaf: DataFrame) -> DataFrame:
+    """(key..., score): the least _score that each owner reaches over hops, from the scored rows of the last table back.
+
+    Scores are reduced to one per link before each join, so a table on the way meets no more rows than have a score.
+    """
+    last = hops[-1]
+    least = lambda df, link: df.groupBy(F.col(link).alias("_link")).agg(F.min("_score").alias("_score"))
+    now = least(leaf, last.foreign_key if last.many else last.referenced_key)
+    for i in range(len(hops) - 1, 0, -1):
+        hop, before = hops[i], hops[i - 1]
+        here = hop.referenced_key if hop.many else hop.foreign_key
+        back = before.foreign_key if before.many else before.referenced_key
+        table = hop_table(tables, before).select(F.col(here).alias("_at"), F.col(back).alias("_back"))
+        now = least(table.join(now, table["_at"] == now["_link"]), "_back")
+    first = hops[0]
+    start = first.referenced_key if first.many else first.foreign_key
+    owners = base.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.col(start).alias("_at"))
+    return owners.join(now, owners["_at"] == now["_link"]).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)], F.col("_score").alias("score"))
+
+
 def owners_of(tables: Tables, entity: Entity, hops: Sequence[Hop], changed: DataFrame) -> DataFrame:
     """Distinct owner keys of changed rows of the table at the end of hops.
 

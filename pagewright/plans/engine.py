@@ -21,11 +21,14 @@ from pagewright.operators.joins import restrict
 from pagewright.operators.predicates import apply_filters, check_filters, restrict_fields
 from pagewright.plans.ranking import Arm, HybridOptions, Ranked, TextOptions, arm_depth, fulltext_search, fuse, route, trigram_search, vector_search
 from pagewright.sources.embeddings import EmbeddingProvider
-from pagewright.sources.index import IndexStore, check_vector, composed_tokens, embedded_vectors, probed, text_definition, vector_definition, with_cells
+from pagewright.sources.index import Change, IndexStore, check_vector, composed_tokens, embedded_vectors, plan_changes, probed, text_definition, trigram_definition, trigram_postings, vector_definition, with_cells
 
 log = logging.getLogger("pagewright")
 
 
+_OTHER_QUERY = "this token belongs to another query: begin again at the first page"
+
+
 @dataclass(frozen=True)
 class Options:
     default_limit: int = 25
@@ -96,7 +99,8 @@ class Engine:
         key = entity.key_columns
         if backend is Backend.TRIGRAM:
             paths = restrict_fields(entity, entity.paths_of(backend), query.search_fields)
-            return trigram_search(self.tables, rows, key, paths, query.term, 1 - self.options.minimum_similarity if threshold is None else threshold)
+            greatest = 1 - self.options.minimum_similarity if threshold is None else threshold
+            return trigram_search(self.tables, rows, key, paths, query.term, greatest, self._trigram_candidates(entity, query.term, greatest))
         narrowed = bool(query.filters) or query.candidates is not None
         if backend is Backend.FULL_TEXT:
             index = self._text_index(entity, rows, narrowed, query.term)
@@ -108,6 +112,15 @@ class Engine:
         index = self._vector_index(entity, rows, narrowed, provider, wanted)
         return vector_search(index, key, group.name, wanted, threshold)
 
+    def _trigram_candidates(self, entity: Entity, term: str, greatest: float) -> DataFrame | None:
+        """Keys that may match by their own fields, from the trigram index; None without one that fits the entity."""
+        tris = sorted(set(trigram.trigrams(term)))
+        least = trigram.least_shared(term, 1 - greatest)
+        found = self.store.manifest(entity, "trigram", "default") if self.store is not None and least > 0 else None
+        if found is None or found.definition != trigram_definition(entity.paths_of(Backend.TRIGRAM)):
+            return None
+        return self.store.holding(entity, "default", tris, least)
+
     def _provider(self) -> EmbeddingProvider:
         if self.options.provider is None:
             raise QueryError("vector search needs an embedding provider")
@@ -119,8 +132,11 @@ class Engine:
             rows = self._able(entity, rows, term)
             parts = [composed_tokens(self.tables, rows, key, g, self.options.index_joined_where) for g in entity.text_groups]
             return reduce(lambda a, b: a.join(b, key), parts)
-        parts = [self.store.read(entity, "fulltext", g.name) for g in entity.text_groups]
+        queries = {g.name: fulltext.parse(term, self.options.text.parser, g.config) for g in entity.text_groups}
+        parts = [self.store.tokens(entity, g.name, fulltext.terms_of(q) if (q := queries[g.name]) is not None else []) for g in entity.text_groups]
         index = reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
+        if not all(q is None or fulltext.needs_hit(q) for q in queries.values()):
+            index = rows.select(*key).join(index, key, "left")  # what holds no term may match
         return index.join(rows.select(*key), key, "left_semi") if narrowed else index
 
     def _able(self, entity: Entity, rows: DataFrame, term: str) -> DataFrame:
@@ -180,12 +196,12 @@ class Engine:
         if query.cursor:
             token = cursor.decode(query.cursor)
             if token.version != cursor.KEYSET or token.fingerprint != self._print(entity, query):
-                raise InvalidCursor("cursor invalid for current sort/filter; restart without cursor")
+                raise InvalidCursor(_OTHER_QUERY)
             kinds = {f.name: f.dataType for f in base.schema.fields}
             keys = dict(zip(entity.key_columns, cursor.decode_keys(token.key_values, [kinds[c] for c in entity.key_columns]), strict=True))
             sorts = [c for c, _ in order if c not in keys]
             if len(sorts) != len(token.sort_values):
-                raise InvalidCursor("cursor invalid for current sort/filter; restart without cursor")
+                raise InvalidCursor(_OTHER_QUERY)
             values = keys | {c: cursor.value_of(t, kinds[c]) for c, t in zip(sorts, token.sort_values, strict=True)}
             rows = rows.filter(paging.after(read, [values[c] for c, _ in order], [kinds[c] for c, _ in order]))
         return rows.orderBy(*[paging.order_of(c, d) for c, d in read]).limit(query.limit + look_ahead)
@@ -206,11 +222,11 @@ class Engine:
         if query.cursor:
             token = cursor.decode(query.cursor)
             if token.version != cursor.SEARCH or token.fingerprint != print_:
-                raise InvalidCursor("cursor invalid for current search/sort/filter; restart without cursor")
+                raise InvalidCursor(_OTHER_QUERY)
             offset = token.offset or 0
         most = (self.options.hybrid or HybridOptions()).most_cursor_offset
         if offset > most or offset < 0:
-            raise InvalidCursor("cursor offset exceeds the maximum search-cursor offset; restart without cursor")
+            raise InvalidCursor(f"this token points beyond row {most}, the maximum to which a search can be paged")
         rows = self._page(entity, query, offset, query.limit)[0].collect()
         onward = offset + query.limit
         more = len(rows) == query.limit and query.limit > 0 and onward <= most
@@ -223,39 +239,73 @@ class Engine:
         """Build the named groups anew, all of them by default, each in one distributed job."""
         base = self.tables(entity.table)
         done = []
-        for g in entity.text_groups if kind in (None, "fulltext") else ():
-            if groups is None or g.name in groups:
-                rows = composed_tokens(self.tables, base, entity.key_columns, g, self.options.index_joined_where)
-                self.store.publish(entity, "fulltext", g.name, rows, config=g.config, definition=text_definition(g))
-                done.append(f"fulltext:{g.name}")
-        for g in entity.vector_groups if kind in (None, "vector") else ():
-            if groups is None or g.name in groups:
-                provider = self._provider()
-                rows, cells = embedded_vectors(base, entity, g, provider), None
-                if self.options.vector_cells:
-                    cells = centroids(rows, g.name, self.options.vector_cells)
-                    rows = with_cells(rows, g.name, cells) if len(cells) else rows
-                facts = dict(model=provider.model_id, dims=g.dims, definition=vector_definition(g.source))
-                self.store.publish(entity, "vector", g.name, rows, centers=cells.tolist() if cells is not None and len(cells) else None, **facts)
-                done.append(f"vector:{g.name}")
+        for k, g in self._groups(entity, kind, groups):
+            rows, facts = self._index_rows(entity, k, g, base)
+            if k == "vector" and self.options.vector_cells and len(cells := centroids(rows, g.name, self.options.vector_cells)):
+                rows, facts["centers"] = with_cells(rows, g.name, cells), cells.tolist()
+            self.store.publish(entity, k, getattr(g, "name", "default"), rows, **facts)
+            done.append(f"{k}:{getattr(g, 'name', 'default')}")
         return done
 
+    def start_index(self, entity: Entity, kind: str, group: str) -> None:
+        """An index of this definition without the owners that the table has lost: an empty one if there is none that fits."""
+        g = next(g for k, g in self._groups(entity, kind, [group]))
+        base, key = self.tables(entity.table), list(entity.key_columns)
+        rows, facts = self._index_rows(entity, kind, g, base.limit(0))
+        found = self.store.manifest(entity, kind, group)
+        if found is None or found.definition != facts["definition"] or (found.model, found.dims) != (facts.get("model"), facts.get("dims")):
+            self.store.publish(entity, kind, group, rows, **facts)
+            return
+        known = self.store.rows(entity, kind, group).select(*key).distinct()
+        lost = known.join(base.select(*key), key, "left_anti")
+        self.store.refresh(entity, kind, group, lost, rows)
+
+    def _groups(self, entity: Entity, kind: str | None, groups: Sequence[str] | None) -> list[tuple[str, object]]:
+        """(kind, group) of the indexes asked for; the trigram index of an entity's own fields has no group of the model."""
+        own = [None] if any(not p.hops for p in entity.paths_of(Backend.TRIGRAM)) else []
+        every = [("fulltext", g) for g in entity.text_groups] + [("vector", g) for g in entity.vector_groups] + [("trigram", g) for g in own]
+        return [(k, g) for k, g in every if kind in (None, k) and (groups is None or getattr(g, "name", "default") in groups)]
+
+    def _index_rows(self, entity: Entity, kind: str, group, base: DataFrame) -> tuple[DataFrame, dict]:
+        """The index rows of the rows of base, and what the manifest says of them."""
+        if kind == "fulltext":
+            return composed_tokens(self.tables, base, entity.key_columns, group, self.options.index_joined_where), dict(config=group.config, definition=text_definition(group))
+        if kind == "vector":
+            provider = self._provider()
+            return embedded_vectors(base, entity, group, provider), dict(model=provider.model_id, dims=group.dims, definition=vector_definition(group.source))
+        paths = [p for p in entity.paths_of(Backend.TRIGRAM) if not p.hops]
+        return trigram_postings(base, entity.key_columns, [p.column for p in paths]), dict(definition=trigram_definition(paths))
+
     def refresh(self, entity: Entity, owners: DataFrame, kind: str | None = None, groups: Sequence[str] | None = None) -> list[str]:
-        """Bring the rows of some owners up to date: their whole text, joined fields included; deleted owners leave the index."""
+        """Bring the rows of some owners up to date: their whole text, joined fields included; deleted owners leave the index.
+
+        Each index gets a delta of these owners; nothing else of it is read or written. Groups without an index raise,
+        but for a trigram index, which is optional.
+        """
         base, key = self.tables(entity.table), list(entity.key_columns)
         owners = owners.select(*key).distinct()
         changed = base.join(owners, key, "left_semi")
         done = []
-        for g in entity.text_groups if kind in (None, "fulltext") else ():
-            if groups is None or g.name in groups:
-                self.store.refresh(entity, "fulltext", g.name, owners, composed_tokens(self.tables, changed, key, g, self.options.index_joined_where), base)
-                done.append(f"fulltext:{g.name}")
-        for g in entity.vector_groups if kind in (None, "vector") else ():
-            if groups is None or g.name in groups:
-                self.store.refresh(entity, "vector", g.name, owners, embedded_vectors(changed, entity, g, self._provider()), base)
-                done.append(f"vector:{g.name}")
+        for k, g in self._groups(entity, kind, groups):
+            name = getattr(g, "name", "default")
+            if k == "trigram" and self.store.manifest(entity, k, name) is None:
+                continue
+            self.store.refresh(entity, k, name, owners, self._index_rows(entity, k, g, changed)[0])
+            done.append(f"{k}:{name}")
         return done
 
+    def apply_changes(self, entity: Entity, changes: Sequence[Change] | None = None) -> list[Change]:
+        """Carry out what plan_changes lists: build, rename, drop."""
+        changes = plan_changes(self.store, entity) if changes is None else changes
+        for c in changes:
+            if c.action == "drop":
+                self.store.drop(entity, c.kind, c.group)
+            elif c.action == "rename":
+                self.store.rename(entity, c.kind, c.previous, c.group)
+            else:
+                self.reindex(entity, c.kind, [c.group])
+        return list(changes)
+
     def _timed(self, entity: Entity, what: str):
         return _Timer(self.spark, entity.table, what, self.options.slow_seconds)
 

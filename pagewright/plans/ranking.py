@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagewright.errors import QueryError
 from pagewright.functions import fulltext, trigram, vector
 from pagewright.model import Backend, Parser, SearchPath, Tables
-from pagewright.operators.joins import along
+from pagewright.operators.joins import hop_table, owners_with
 from pagewright.operators.paging import order_of
 
 
@@ -46,24 +46,28 @@ class Ranked:
         return [order_of("score", self.descending), *[F.col(k).asc() for k in self.key]]
 
 
-def trigram_search(tables: Tables, base: DataFrame, key: Sequence[str], paths: Sequence[SearchPath], term: str, greatest: float = 1 - trigram.MINIMUM) -> Ranked:
-    """The least distance of any field, up to greatest. Fields of the row itself are scored in one scan without a shuffle."""
+def trigram_search(
+    tables: Tables, base: DataFrame, key: Sequence[str], paths: Sequence[SearchPath], term: str, greatest: float = 1 - trigram.MINIMUM, candidates: DataFrame | None = None
+) -> Ranked:
+    """The least distance of any field, up to greatest. Fields of the row itself are scored in one scan without a shuffle,
+    or on the candidates of a trigram index. Texts at the end of hops are scored where they stand, once for each row of
+    the last table, and only those that match walk back to their owners."""
     key = tuple(key)
     arms = []
     own = [p for p in paths if not p.hops]
     if own:
         scores = [trigram.distance(F.col(p.column), term, greatest) for p in own]
         able = reduce(lambda a, b: a | b, [trigram.may_match(F.col(p.column).cast("string"), term, 1 - greatest) for p in own])
-        arms.append(base.filter(able).select(*key, (F.least(*scores) if len(scores) > 1 else scores[0]).alias("score")).filter("score is not null"))
+        here = base if candidates is None else base.join(candidates, list(key), "left_semi")
+        arms.append(here.filter(able).select(*key, (F.least(*scores) if len(scores) > 1 else scores[0]).alias("score")).filter("score is not null"))
     for p in paths:
         if p.hops:
-            # texts are scored per joined row and reduced to the best per owner; unmatched rows never shuffle again
-            joined = along(tables, base, key, p.hops, p.column)
-            joined = joined.filter(trigram.may_match(F.col("value").cast("string"), term, 1 - greatest))
-            arms.append(joined.select(*key, trigram.distance(F.col("value"), term, greatest).alias("score")).filter("score is not null"))
+            leaf = hop_table(tables, p.hops[-1])
+            leaf = leaf.filter(trigram.may_match(F.col(p.column).cast("string"), term, 1 - greatest))
+            arms.append(owners_with(tables, base, key, p.hops, leaf.withColumn("_score", trigram.distance(F.col(p.column), term, greatest)).filter("_score is not null")))
     if not arms:
         return Ranked(base.select(*key, F.lit(0.0).alias("score")).limit(0), key, False)
-    rows = arms[0] if len(arms) == 1 and own else reduce(DataFrame.unionByName, arms).groupBy(*key).agg(F.min("score").alias("score"))
+    rows = arms[0] if len(arms) == 1 else reduce(DataFrame.unionByName, arms).groupBy(*key).agg(F.min("score").alias("score"))
     return Ranked(rows, key, False)
 
 
