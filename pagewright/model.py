@@ -127,6 +127,10 @@ class ArmConfig:
     confidence: float | None
 
 
+#: The key of an entity that names none.
+DEFAULT_KEY = ("id",)
+
+
 @dataclass(frozen=True)
 class Entity:
     """A root table with its key, its searchable fields and what may filter and sort.
@@ -136,7 +140,7 @@ class Entity:
     """
 
     table: str
-    key: tuple[str, ...] = ("id",)
+    key: tuple[str, ...] = DEFAULT_KEY
     searchables: tuple[Searchable, ...] = ()
     joins: tuple[Join, ...] = ()
     filterable: Mapping[str, frozenset[Op]] = field(default_factory=dict)
@@ -315,14 +319,23 @@ class CursorPage:
     match_info: None = None
 
 
-class Registry:
-    """Entities by table name."""
+#: Gives the ordered key fields of tables that it knows, for entities that name no key themselves.
+KeySource = Callable[[Sequence[str]], Mapping[str, Sequence[str]]]
 
-    def __init__(self, *entities: Entity):
-        self._by_table = {e.table: e for e in entities}
 
-    def add(self, entity: Entity) -> None:
-        self._by_table[entity.table] = entity
+class Registry:
+    """Entities by table name. key_source fills in the keys of entities that leave the default."""
+
+    def __init__(self, *entities: Entity, key_source: KeySource | None = None):
+        self._key_source = key_source
+        self._by_table: dict[str, Entity] = {}
+        self.add(*entities)
+
+    def add(self, *entities: Entity) -> None:
+        keys = self._key_source([e.table for e in entities]) if self._key_source else {}
+        for e in entities:
+            known = tuple(keys.get(e.table, ()))
+            self._by_table[e.table] = replace(e, key=known) if known and e.key == DEFAULT_KEY else e
 
     def __getitem__(self, table: str) -> Entity:
         try:

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright import cursor
-from pagewright.model import Backend, Entity, Filter, Join, Mode, Op, PagedQuery, Parser, Registry, Searchable, Sort
+from pagewright.model import Backend, Entity, Filter, Join, Mode, OffsetPage, Op, PagedQuery, Parser, Registry, Searchable, Sort, Tables
 from pagewright.operators import paging
 from pagewright.operators.joins import owners_of
 from pagewright.plans.engine import Engine, Options
 from pagewright.plans.ranking import HybridOptions, Ranked, TextOptions
 from pagewright.sources.embeddings import FunctionEmbedding, HashEmbedding, embedded
-from pagewright.sources.index import composed_tokens
+from pagewright.sources.index import IndexStore, composed_tokens
 from pagewright.sources.jobs import collapse, enqueue_frame
-from pagewright.sources.tables import parquet_folder
-from pagewright.streaming.maintenance import batch_summary, next_keys
+from pagewright.sources.tables import parquet_folder, scratch
+from pagewright.streaming.maintenance import batch_summary, next_keys, resumable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,10 +152,9 @@ def _trigram_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _owner_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers whose indexed text changes with parts 1 to 20: part, order line, order, customer."""
+    """Customers whose indexed text changes with every part of size 7, a set that grows with the table."""
     engine = _engine(spark, sf)
-    changed = engine.tables("part").filter("p_partkey between 1 and 20")
-    return owners_of(engine.tables, CUSTOMER_PARTS, CUSTOMER_PARTS.paths[0].hops, changed)
+    return owners_of(engine.tables, CUSTOMER_PARTS, CUSTOMER_PARTS.paths[0].hops, engine.tables("part").filter("p_size = 7"))
 
 
 def _composed(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,35 +178,23 @@ def _reindex_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return kept.unionByName(fresh).select("doc_id", F.size("default").cast("long").alias("n_tokens"))
 
 
-def _jobs(spark: SparkSession) -> DataFrame:
-    rows = [(1, "docs", "default", "pending", None), (2, "docs", "default", "pending", None), (3, "docs", "default", "failed", "7"), (4, "docs", "other", "pending", "7"), (5, "docs", "default", "pending", "7")]
-    return spark.createDataFrame(rows, "id long, entity string, group_name string, status string, last_id string")
+def _order_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """A job for every order: its group by priority, its owner the customer."""
+    orders = parquet_folder(spark, sf)("orders")
+    return orders.select(F.col("o_orderkey").alias("id"), F.lit("customer").alias("entity"), F.col("o_orderpriority").alias("group_name"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("string").alias("last_id"))
 
 
 def _jobs_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return collapse(_jobs(spark))
+    return collapse(_order_jobs(spark, sf))
 
 
 def _jobs_enqueue(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of customer 1 to 50 as targeted jobs, but for those that wait already."""
-    keys = parquet_folder(spark, sf)("orders").filter("o_custkey <= 50").select(F.lit("orders").alias("entity"), F.lit("default").alias("group_name"), F.col("o_orderkey").cast("string").alias("last_id"))
-    pending = parquet_folder(spark, sf)("orders").filter("o_orderkey % 2 = 0").select(F.lit("orders").alias("entity"), F.lit("default").alias("group_name"), F.col("o_orderkey").cast("string").alias("last_id"))
-    return enqueue_frame(pending, keys)
-
-
-def _jobs_enqueue_all(spark: SparkSession, sf: str) -> DataFrame:
     """All orders as targeted jobs, but for those that wait already."""
     orders = parquet_folder(spark, sf)("orders")
     keys = orders.select(F.lit("orders").alias("entity"), F.lit("default").alias("group_name"), F.col("o_orderkey").cast("string").alias("last_id"))
     return enqueue_frame(keys.filter(orders["o_orderkey"] % 2 == 0), keys)
 
 
-def _owner_resolution_growing(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers whose indexed text changes with every part of size 7, a set that grows with the table."""
-    engine = _engine(spark, sf)
-    return owners_of(engine.tables, CUSTOMER_PARTS, CUSTOMER_PARTS.paths[0].hops, engine.tables("part").filter("p_size = 7"))
-
-
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
     engine = _engine(spark, sf)
     return batch_summary(next_keys(engine, CONVERSATION, 100, (20, 1)), ["conv_id", "turn"])
@@ -355,8 +342,13 @@ _add("ft_phrase", _matched('"under the" license'), f"select doc_id from document
 _add("ft_phrase_parser", _matched("under the mit license", Parser.PHRASE), f"select doc_id from documents where contains({_spaced}, ' under the mit license ')")
 _add("ft_plain", _matched("license -under", Parser.PLAIN), f"select doc_id from documents where contains({_spaced}, ' license ') and contains({_spaced}, ' under ')")
 _add("ft_raw", _matched("(mit | gnu) & !apache", Parser.RAW), f"select doc_id from documents where (contains({_spaced}, ' mit ') or contains({_spaced}, ' gnu ')) and not contains({_spaced}, ' apache ')")
-_add("ft_and_ranked", searched(DOCUMENT, "the license"))
-_add("ft_weighted", searched(DOCUMENT_WEIGHTED, "src3 or license"))
+_both = f"""(select doc_id, sum(0.4 / (i - before)) as score from (
+  select doc_id, i, w[i] as x, lag(i) over (partition by doc_id order by i) as before, lag(w[i]) over (partition by doc_id order by i) as y
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, {_words_sql('text')} as w from documents)) where w[i] in ('the', 'license'))
+  where x <> y group by doc_id)"""
+_add("ft_and_ranked", searched(DOCUMENT, "the license"), page_sql(_both, "doc_id", True))
+_either = "(select doc_id, 1.0 * len(list_filter({s}, lambda x: x in ('src3', 'license'))) + 0.2 * len(list_filter({t}, lambda x: x in ('src3', 'license'))) as score from documents)".format(s=_words_sql("source"), t=_words_sql("text"))
+_add("ft_weighted", searched(DOCUMENT_WEIGHTED, "src3 or license"), page_sql(f"(select * from {_either} where score > 0)", "doc_id", True))
 _english = Entity("documents", ("doc_id",), (Searchable("text", Backend.FULL_TEXT, config="english"),))
 _add("ft_english", searched(_english, "licensed versions"))
 
@@ -365,15 +357,14 @@ _add("hybrid_rrf", searched(_plain, "small", 20, hybrid=HybridOptions()), _hybri
 _add("hybrid_weighted", searched(HYBRID, "small", 20, hybrid=HybridOptions()), _hybrid_sql((1.0, 2.0), 1.0))
 _add("hybrid_threshold", searched(HYBRID_STRICT, "small", 20, hybrid=HybridOptions()), _hybrid_sql((1.0, 1.0), 0.4, 0.8))
 
-_add("owner_resolution", _owner_resolution, "select distinct o_custkey as c_custkey from orders join lineitem on l_orderkey = o_orderkey where l_partkey between 1 and 20")
+_add("owner_resolution", _owner_resolution, "select distinct o_custkey as c_custkey from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where p_size = 7")
 _composed_sql = "select c_custkey, array_to_string(list_concat(list_transform(a, lambda w, i: w || ':' || i || ':C'), list_transform(b, lambda w, i: w || ':' || (i + len(a)) || ':A')), ' ') as tokens from (select c_custkey, {a} as a, {b} as b from customer join nation on n_nationkey = c_nationkey)"
 _add("index_composed_text", _composed, _composed_sql.format(a=_words_sql("c_mktsegment"), b=_words_sql("n_name")))
 _add("reindex_incremental", _reindex_incremental, f"select doc_id, case when doc_id % 7 = 0 then 3 else len({_words_sql('text')}) end::bigint as n_tokens from documents where doc_id % 11 != 0")
 _add("reindex_batch", _batch, "select count(*) as affected, max({'a': conv_id, 'b': turn}).a as last_conv_id, max({'a': conv_id, 'b': turn}).b as last_turn from (select * from conversations where conv_id > 20 or (conv_id = 20 and turn > 1) order by conv_id, turn limit 100)")
-_add("jobs_collapse", _jobs_collapse, "select * from (values (1::bigint, 'docs', 'default', 'pending', null), (3, 'docs', 'default', 'failed', '7'), (4, 'docs', 'other', 'pending', '7')) t(id, entity, group_name, status, last_id)")
-_add("jobs_enqueue", _jobs_enqueue, "select 'orders' as entity, 'default' as group_name, o_orderkey::varchar as last_id from orders where o_custkey <= 50 and o_orderkey % 2 <> 0")
-_add("jobs_enqueue_all", _jobs_enqueue_all, "select 'orders' as entity, 'default' as group_name, o_orderkey::varchar as last_id from orders where o_orderkey % 2 <> 0")
-_add("owner_resolution_growing", _owner_resolution_growing, "select distinct o_custkey as c_custkey from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where p_size = 7")
+_job_sql = "select o_orderkey as id, 'customer' as entity, o_orderpriority as group_name, o_orderstatus as status, o_custkey::varchar as last_id from orders"
+_add("jobs_collapse", _jobs_collapse, f"select * from ({_job_sql}) qualify row_number() over (partition by group_name, last_id order by id) = 1")
+_add("jobs_enqueue", _jobs_enqueue, "select 'orders' as entity, 'default' as group_name, o_orderkey::varchar as last_id from orders where o_orderkey % 2 <> 0")
 
 
 def embedded_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,8 +377,8 @@ _add("embed_hash", embedded_titles, "select p_partkey, 8::bigint as dims, 1.0::d
 
 
 def cursor_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of every nation row, decoded again: keys and sort values survive the round trip."""
-    rows = parquet_folder(spark, sf)("nation").collect()
+    """Tokens of the rows of a page of nations, decoded again: keys and sort values survive the round trip."""
+    rows = parquet_folder(spark, sf)("nation").orderBy("n_name", "n_nationkey").limit(25).collect()
     order = [("n_name", False), ("n_nationkey", False)]
     out = []
     for r in rows:
@@ -396,4 +387,178 @@ def cursor_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "n_nationkey int, n_name string")
 
 
-_add("cursor_round_trip", cursor_tokens, "select n_nationkey, n_name from nation")
+_add("cursor_round_trip", cursor_tokens, "select n_nationkey, n_name from nation order by n_name, n_nationkey limit 25")
+
+
+# --- pages through the engine, with and without an index store ----------------------------------------------------
+
+
+def _paged(page: OffsetPage, columns: Sequence[str], order: Sequence) -> DataFrame:
+    """The items of an offset page with their place, and what the page says of itself."""
+    facts = {"total": page.total, "has_more": page.has_more, "has_prev": page.has_prev}
+    ranked = page.items.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    score = [F.round("score", 5).alias("score")] if "score" in page.items.columns else []
+    return ranked.select(*columns, *score, "rank", *[F.lit(v).alias(k) for k, v in facts.items()])
+
+
+def _found(engine: Engine, entity: Entity, query: PagedQuery, columns: Sequence[str], best_high: bool) -> DataFrame:
+    order = [F.col("score").desc() if best_high else F.col("score").asc(), *entity.key_columns]
+    return _paged(engine.search_offset(entity, query), columns, order)
+
+
+def _found_sql(source: str, table: str, key: str, columns: Sequence[str], descending: bool, limit: int, page: int = 0) -> str:
+    listed, by = ", ".join(columns), "desc" if descending else "asc"
+    low, high = page * limit, (page + 1) * limit
+    return f"""select {listed}, round(score::double, 5) as score, (place - {low})::bigint as rank, total::int as total, total > {high} as has_more, {str(page > 0).lower()} as has_prev
+      from (select *, row_number() over (order by score {by}, {key}) as place, count(*) over () as total from {source} join {table} using ({key})) where place > {low} and place <= {high}"""
+
+
+def _stored(spark: SparkSession, tables: Tables, *entities: Entity, **options: object) -> Engine:
+    return Engine(spark, tables, Registry(*entities), Options(**options), IndexStore(spark, scratch(spark)))
+
+
+def _store_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of a search over an index of all texts; full rows are fetched for the page only."""
+    engine = _stored(spark, parquet_folder(spark, sf), DOCUMENT)
+    engine.reindex(DOCUMENT)
+    return _found(engine, DOCUMENT, PagedQuery(search="license", limit=10, page=1), ["doc_id", "lang", "n_chars"], True)
+
+
+_add("store_search", _store_search, _found_sql(terms_sql("documents", "doc_id", "text", ["license"]), "documents", "doc_id", ["doc_id", "lang", "n_chars"], True, 10, 1))
+
+
+def _store_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """All that an index holds of a word after texts of one source were replaced and those of a language deleted, by deltas."""
+    tables = {"documents": parquet_folder(spark, sf)("documents").select("doc_id", "text", "lang", "source")}
+    engine = _stored(spark, lambda name: tables[name], DOCUMENT)
+    engine.reindex(DOCUMENT)
+    old = tables["documents"]
+    changed = old.withColumn("text", F.when(F.col("source") == "src3", F.concat(F.lit("license license of "), "lang")).otherwise(F.col("text")))
+    tables["documents"] = changed.filter("lang is distinct from 'de'")
+    engine.refresh(DOCUMENT, old.filter("source = 'src3'"))
+    engine.refresh(DOCUMENT, old.filter("lang = 'de'"))
+    return engine.ranked(DOCUMENT, PagedQuery(search="license")).rows.select("doc_id", F.round("score", 5).alias("score"))
+
+
+_new_text = "case when source = 'src3' then 'license license of ' || lang else text end"
+_add("store_refresh", _store_refresh, f"select doc_id, round(score::double, 5) as score from {terms_sql(f'(select doc_id, {_new_text} as text from documents where lang is distinct from {chr(39)}de{chr(39)})', 'doc_id', 'text', ['license'])}")
+
+
+def _store_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A build that stops halfway and goes on from the key it reported: token counts of the index."""
+    tables = parquet_folder(spark, sf)
+    engine = _stored(spark, tables, CONVERSATION)
+    size = -(-tables("conversations").count() // 6)
+    seen: list[tuple] = []
+
+    def stop(last: tuple) -> None:
+        seen.append(last)
+        if len(seen) == 3:
+            raise InterruptedError
+
+    try:
+        resumable(engine, CONVERSATION, "default", size, on_batch=stop, fresh=True)
+    except InterruptedError:
+        resumable(engine, CONVERSATION, "default", size, seen[-1])
+    index = engine.store.read(CONVERSATION, "fulltext", "default")
+    return index.select("conv_id", "turn", F.size("default").cast("long").alias("n_tokens"))
+
+
+_add("store_resumed", _store_resumed, f"select conv_id, turn, len({_words_sql('text')})::bigint as n_tokens from conversations where len({_words_sql('text')}) > 0")
+
+
+def _store_trigram(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _stored(spark, parquet_folder(spark, sf), PART)
+    engine.reindex(PART)
+    return _found(engine, PART, PagedQuery(search=TERM, limit=20, filters=(Filter("p_size", Op.LT, "20"),)), ["p_partkey", "p_name"], False)
+
+
+_add("store_trigram", _store_trigram, _found_sql(similarity_sql("part", "p_partkey", "p_name", TERM, where="p_size < 20"), "part", "p_partkey", ["p_partkey", "p_name"], False, 20))
+
+
+def _store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What fits an entity to its indexes: nothing is there, then a group is renamed, one is new and one is gone."""
+    tables = parquet_folder(spark, sf)
+    first = Entity("nation", ("n_nationkey",), (Searchable("n_name", Backend.FULL_TEXT, group="names"), Searchable("n_name", Backend.TRIGRAM)))
+    second = Entity("nation", ("n_nationkey",), (Searchable("n_name", Backend.FULL_TEXT, group="titles", previous_group="names"),))
+    engine = _stored(spark, tables, first)
+    done = [("1", c) for c in engine.apply_changes(first)] + [("2", c) for c in engine.apply_changes(second)] + [("3", c) for c in engine.apply_changes(second)]
+    count = engine.ranked(second, PagedQuery(search="nation_1 or nation_2")).rows.count()
+    return spark.createDataFrame([(n, c.action, c.kind, c.group, count) for n, c in done], "step string, action string, kind string, group_name string, found long")
+
+
+_add("store_changes", _store_changes, "select * from (values ('1', 'create', 'fulltext', 'names'), ('1', 'create', 'trigram', 'default'), ('2', 'rename', 'fulltext', 'titles'), ('2', 'drop', 'trigram', 'default')) t(step, action, kind, group_name), "
+     f"(select count(*) as found from nation where len(list_intersect({_words_sql('n_name')}, ['nation'])) > 0 and len(list_intersect({_words_sql('n_name')}, ['1', '2'])) > 0)")
+
+
+def _cursor_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pages forward and one back by tokens: each page's rows and flags."""
+    engine, out, token = _engine(spark, sf), [], None
+    query = PagedQuery(Mode.CURSOR, 15, sort=(Sort("p_size", True),), filters=(_eq("p_brand", "Brand#2"),))
+    for number in range(3):
+        page = engine.search_cursor(PART, query.with_(cursor=token))
+        out += [(number, k, r["p_partkey"], r["p_size"], page.has_more, page.has_prev) for k, r in enumerate(page.items)]
+        token, back = page.next_cursor, page.prev_cursor
+    page = engine.search_cursor(PART, query.with_(cursor=back, backward=True))
+    out += [(3, k, r["p_partkey"], r["p_size"], page.has_more, page.has_prev) for k, r in enumerate(page.items)]
+    return spark.createDataFrame(out, "page int, place int, p_partkey long, p_size int, has_more boolean, has_prev boolean")
+
+
+_add("cursor_walk", _cursor_walk, """with o as (select p_partkey, p_size, row_number() over (order by p_size desc nulls first, p_partkey desc) - 1 as k, count(*) over () as n from part where p_brand = 'Brand#2')
+select (k // 15)::int as page, (k % 15)::int as place, p_partkey, p_size, n > (k // 15 + 1) * 15 as has_more, k >= 15 as has_prev from o where k < 45
+union all select 3, (k % 15)::int, p_partkey, p_size, n > 30, true from o where k >= 15 and k < 30 and n > 30""")
+
+
+def _search_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pages of a search by tokens, full rows each."""
+    engine, out, token = _engine(spark, sf), [], None
+    for number in range(3):
+        page = engine.search_cursor(PART, PagedQuery(Mode.CURSOR, 10, search=TERM, cursor=token))
+        out += [(number, k, r["p_partkey"], r["p_name"], page.has_more, page.has_prev) for k, r in enumerate(page.items)]
+        token = page.next_cursor
+        if token is None:
+            break
+    return spark.createDataFrame(out, "page int, place int, p_partkey long, p_name string, has_more boolean, has_prev boolean")
+
+
+_add("search_walk", _search_walk, f"""with o as (select p_partkey, p_name, row_number() over (order by score, p_partkey) - 1 as k, count(*) over () as n from {SIM} join part using (p_partkey))
+select (k // 10)::int as page, (k % 10)::int as place, p_partkey, p_name, n >= (k // 10 + 1) * 10 as has_more, k >= 10 as has_prev from o where k < 30""")
+
+
+def _filter_and_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _engine(spark, sf)
+    ranked = engine.ranked(PART, PagedQuery(search=TERM, candidates=list(range(0, 400, 3)), filters=(Filter("p_size", Op.GTE, "20"),)))
+    return _page_of(ranked, 50, 0)
+
+
+_add("trigram_filter_and_candidates", _filter_and_candidates, page_sql(similarity_sql("part", "p_partkey", "p_name", TERM, where="p_partkey < 400 and p_partkey % 3 = 0 and p_size >= 20"), "p_partkey"))
+
+
+def _nearest_to(spark: SparkSession, sf: str, key: int) -> FunctionEmbedding:
+    one = [float(x) for x in parquet_folder(spark, sf)("embeddings").filter(F.col("vec_id") == key).select("embedding").first()[0]]
+    return FunctionEmbedding(lambda _: one, 64, "given")
+
+
+def _knn_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _engine(spark, sf, provider=_nearest_to(spark, sf, 0))
+    return _page_of(engine.ranked(EMBEDDED, PagedQuery(search="x", candidates=list(range(0, 300, 2)))), 20, 0)
+
+
+_add("vector_candidates", _knn_candidates, page_sql(KNN_SOURCE.format(where="e.vec_id < 300 and e.vec_id % 2 = 0"), "vec_id", limit=20))
+
+KINDS = Entity("kinds", ("vec_id",), (Searchable("embedding", Backend.VECTOR, 1.0, dims=64), Searchable("kind", Backend.FULL_TEXT, 2.0)))
+
+
+def _hybrid_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors and texts fused: neighbours of vector 0, and rows whose kind is that of label 1."""
+    vectors = parquet_folder(spark, sf)("embeddings").withColumn("kind", F.concat(F.lit("kind"), F.col("label").cast("string")))
+    engine = Engine(spark, lambda _: vectors, Registry(KINDS), Options(hybrid=HybridOptions(), provider=_nearest_to(spark, sf, 0)))
+    return _page_of(engine.ranked(KINDS, PagedQuery(search="kind1"), limit=20), 20, 0)
+
+
+_add("hybrid_vector", _hybrid_vector, page_sql(f"""(with v as (select vec_id, row_number() over (order by score, vec_id) as r from {KNN_SOURCE.format(where='true')} order by r limit 100),
+ f as (select vec_id, row_number() over (order by vec_id) as r from embeddings where label = 1 order by r limit 100)
+ select vec_id, sum(part) as score from (select vec_id, 1.0::double / (60 + r) as part from v union all select vec_id, 2.0::double / (60 + r) from f) group by vec_id)""", "vec_id", True, 20))
+
+_sure = Entity("part", ("p_partkey",), (Searchable("p_name", Backend.TRIGRAM, 1.0), Searchable("p_type", Backend.FULL_TEXT, 1.0, confidence=0.5)))
+_add("hybrid_text_threshold", searched(_sure, "small", 20, hybrid=HybridOptions()), page_sql(RRF.format(tri=similarity_sql("part", "p_partkey", "p_name", "small"), ft=f"(select * from {terms_sql('part', 'p_partkey', 'p_type', ['small'])} where score >= 0.5)", depth=100, wt=1.0, wf=1.0), "p_partkey", True, 20))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ log = logging.getLogger("pagewright")
 _OTHER_QUERY = "this token belongs to another query: begin again at the first page"
 
 
+class Ranker(Protocol):
+    """Ranks rows of an entity for one backend: rows holds what filters and candidates leave, threshold an arm's confidence or None."""
+
+    def __call__(self, engine: Engine, entity: Entity, query: PagedQuery, rows: DataFrame, threshold: float | None) -> Ranked: ...
+
+
 @dataclass(frozen=True)
 class Options:
     default_limit: int = 25
@@ -39,6 +46,10 @@ class Options:
     hybrid: HybridOptions | None = None
     provider: EmbeddingProvider | None = None
     index_joined_where: bool = False
+    #: Rankers that take the place of the built-in ones, by backend.
+    rankers: Mapping[Backend, Ranker] = field(default_factory=dict)
+    #: Log the plan of each search.
+    log_plans: bool = False
     #: Cells of a coarse vector index (0: none), and how many a search reads (0: all, which is exact).
     vector_cells: int = 0
     probes: int = 0
@@ -66,19 +77,30 @@ class Engine:
             total = counted.count() if query.count else None
         return OffsetPage(items, query.limit, page, total, None if total is None else total > (page + 1) * query.limit, page > 0)
 
+    def fetch_offset(self, entity: Entity, query: PagedQuery) -> tuple[OffsetPage, list]:
+        """An offset page and its rows, at most limit of them, fetched inside the time that is watched."""
+        with self._timed(entity, "offset fetch"):
+            page = self.search_offset(entity, query)
+            return page, page.items.collect()
+
+    def _logged(self, entity: Entity, df: DataFrame) -> DataFrame:
+        if self.options.log_plans:
+            log.info("plan for %s:\n%s", entity.table, df._jdf.queryExecution().toString())
+        return df
+
     def _page(self, entity: Entity, query: PagedQuery, offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
         """The full rows of a page in order, and the frame whose count is the total."""
         base = self.tables(entity.table)
         entity.check(base.schema)
         if not query.term:
             rows = apply_filters(base, entity, query.filters)
-            return paging.offset_page(rows, paging.offset_order(entity, query.sort), limit, offset), rows
+            return self._logged(entity, paging.offset_page(rows, paging.offset_order(entity, query.sort), limit, offset)), rows
         ranked = self.ranked(entity, query, base, offset, limit)
         ordered = ranked.rows.orderBy(*ranked.order)
         top = (ordered.offset(offset) if offset else ordered).limit(limit)
         # the page is at most limit rows, so it is the broadcast side; rows that are gone from the table drop out
         fetched = base.join(F.broadcast(top), list(entity.key_columns))
-        return fetched.orderBy(*ranked.order), ranked.rows
+        return self._logged(entity, fetched.orderBy(*ranked.order)), ranked.rows
 
     # --- ranking
 
@@ -96,6 +118,8 @@ class Engine:
         return rows if query.candidates is None else restrict(rows, entity, query.candidates)
 
     def _single(self, backend: Backend, entity: Entity, query: PagedQuery, rows: DataFrame, threshold: float | None) -> Ranked:
+        if backend in self.options.rankers:
+            return self.options.rankers[backend](self, entity, query, rows, threshold)
         key = entity.key_columns
         if backend is Backend.TRIGRAM:
             paths = restrict_fields(entity, entity.paths_of(backend), query.search_fields)
@@ -320,8 +344,10 @@ class _Timer:
         self.began = time.monotonic()
         self.spark.sparkContext.setJobDescription(self.what)
 
-    def __exit__(self, *_):
+    def __exit__(self, kind, error, _):
         self.spark.sparkContext.setJobDescription(None)
         took = time.monotonic() - self.began
+        if kind is not None:
+            log.error("%s failed after %.3f s: %s", self.what, took, error)
         if took > self.slow:
             log.warning("%s took %.3f s", self.what, took)

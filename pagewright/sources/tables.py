@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,3 +24,13 @@ def catalog(spark: SparkSession, schema: str | None = None) -> Tables:
 
 def frames(by_name: Mapping[str, DataFrame]) -> Tables:
     return by_name.__getitem__
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or local where all runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="pagewright-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
