@@ -417,6 +417,8 @@ class IndexStore:
         """Merge the deltas, with the base too once they hold half as many rows as it does."""
         folder, key, now = self._folder(entity, kind, group), list(entity.key_columns), self.manifest(entity, kind, group)
         base, deltas = [s for s in now.segments if not s.keys], [s for s in now.segments if s.keys]
+        if not deltas:
+            return now
         whole = 2 * sum(s.rows for s in deltas) >= sum(s.rows for s in base)
         merged = now.segments if whole else deltas
         keys = None if whole else self._keys(folder, list(enumerate(deltas))).select(*key)
