@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quality": quality_model.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": outliers.op10_quality_rules,
+    "quality_statistics": outliers.quality_statistics,
+    "edited_texts": fingerprint.edited_texts,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op5_license_scan": license_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "redirected_urls": url_filter.REDIRECTED_ORACLE,
+    "quality_statistics": outliers.STATISTICS_ORACLE,
+    "edited_texts": fingerprint.EDITED_ORACLE,
 }

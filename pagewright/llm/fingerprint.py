@@ -302,3 +302,15 @@ def compare_with_next(documents: DataFrame, rows_per_slice: int = 512) -> DataFr
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4_fingerprint SQL can say: lengths and edited texts, by way of the same pass."""
+    return op4_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_ORACLE = """
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+pairs as (select doc_id, t, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as after from texts)
+select doc_id, length(t)::bigint as n_chars, sha256(left(t, length(t) - length(t) // 4) || left(after, length(t) // 4)) as edited_sha256 from pairs
+"""

@@ -238,6 +238,10 @@ def robust_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(_bounded(fits), keys).withColumn("distance", _distance(_regular(consistency(REWEIGHT)))).drop(*_FIT)
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 def quality_rules(documents: DataFrame) -> DataFrame:
     """One row per row of documents (doc_id, text, lang, source): its statistics, base_failed, distance and kept.
 
@@ -246,8 +250,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     rejects nothing. Repeated rows count each, and rows with equal statistics tie; other columns are ignored.
     """
     df = documents.select("doc_id", F.col("text").cast("string").alias("text"), *[F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_{c}") for c in ("lang", "source")])
-    repeated = 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
-    rows = settle(transformed(text_statistics(df)).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | repeated))
+    rows = settle(transformed(text_statistics(df)).withColumn("base_failed", _base_failed()))
     keys = ["_lang", "_source"]
     passed = robust_distances(rows.filter(~F.col("base_failed")), keys).withColumn("kept", F.col("distance") <= CUTOFF)
     failed = rows.filter("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
@@ -257,3 +260,24 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return quality_rules(documents).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base rules of all documents, which SQL can say too."""
+    rows = text_statistics(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("n_lines")
+    return rows.withColumn("base_failed", _base_failed())
+
+
+#: The statistics by brute force: every window of every text.
+STATISTICS_ORACLE = r"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+words as (select doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x != '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from texts),
+windows as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as h from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from words)),
+twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, h) > 1),
+covered as (select doc_id, count(distinct i + k) as n from twice, range(8) r(k) group by doc_id),
+counted as (
+  select w.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
+  from words w left join covered c on c.doc_id = w.doc_id)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counted
+"""
