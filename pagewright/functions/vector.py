@@ -45,24 +45,48 @@ def cosine_distance(column: Column, query: Sequence[float]) -> Column:
     return score.asNondeterministic()(column)
 
 
-def centroids(df: DataFrame, column: str, k: int, sample: int = 20_000, rounds: int = 12, seed: int = 1) -> np.ndarray:
-    """Spherical k-means on a bounded sample, for a coarse index; deterministic for the same rows."""
+#: Bound on the vectors from which centroids and recall are learned.
+SAMPLE = 20_000
+
+
+def sampled(df: DataFrame, column: str, sample: int = SAMPLE) -> np.ndarray:
+    """About sample unit vectors of a column, by a hash, in a fixed order; null and zero vectors are left out."""
     total = df.filter(F.col(column).isNotNull()).count()
     share = min(1.0, sample / max(total, 1))
     picked = df.filter(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select(column)
-    x = np.array(sorted(r[0] for r in picked.collect()), np.float64)
+    rows = sorted(r[0] for r in picked.collect())
+    x = np.array(rows, np.float64).reshape(len(rows), -1)
+    norms = np.linalg.norm(x, axis=1)
+    return x[norms > 0] / norms[norms > 0, None]
+
+
+def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
+    """Spherical k-means of unit vectors, for a coarse index; deterministic for the same rows."""
     if not len(x):
         return np.zeros((0, 0))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centers = x[np.random.default_rng(seed).permutation(len(x))[: min(k, len(x))]]
     for _ in range(rounds):
         near = (x @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
         np.add.at(sums, near, x)
-        centers = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centers)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centers)
     return centers
 
 
+def probe_recall(x: np.ndarray, centers: np.ndarray, k: int = 10, queries: int = 200) -> list[float]:
+    """For 1, 2, ... cells probed: the share of the k nearest neighbours, by brute force over x, that these cells hold."""
+    if not len(x):
+        return []
+    asked = x[:: max(1, len(x) // queries)]
+    own = (x @ centers.T).argmax(axis=1)
+    order = np.argsort(-(asked @ centers.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of each cell among those nearest to a query
+    near = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    needed = np.take_along_axis(place, own[near], axis=1)
+    return [float((needed < p + 1).mean()) for p in range(len(centers))]
+
+
 def nearest_center(column: Column, centers: np.ndarray) -> Column:
     """The index of the centroid with the largest cosine, to partition an index by."""
 

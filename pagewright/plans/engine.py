@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from pagewright import cursor
 from pagewright.errors import InvalidCursor, QueryError
 from pagewright.functions import fulltext, trigram
-from pagewright.functions.vector import centroids
+from pagewright.functions.vector import centroids, probe_recall, sampled
 from pagewright.model import Backend, CursorPage, Entity, Mode, OffsetPage, PagedQuery, Registry, Tables
 from pagewright.operators import paging
 from pagewright.operators.joins import restrict
 from pagewright.operators.predicates import apply_filters, check_filters, restrict_fields
 from pagewright.plans.ranking import Arm, HybridOptions, Ranked, TextOptions, arm_depth, fulltext_search, fuse, route, trigram_search, vector_search
 from pagewright.sources.embeddings import EmbeddingProvider
-from pagewright.sources.index import Change, IndexStore, check_vector, composed_tokens, embedded_vectors, plan_changes, probed, text_definition, trigram_definition, trigram_postings, vector_definition, with_cells
+from pagewright.sources.index import Change, IndexStore, check_vector, composed_tokens, embedded_vectors, plan_changes, probed, probes_for, text_definition, trigram_definition, trigram_postings, vector_definition, with_cells
 
 log = logging.getLogger("pagewright")
 
@@ -50,9 +50,11 @@ class Options:
     rankers: Mapping[Backend, Ranker] = field(default_factory=dict)
     #: Log the plan of each search.
     log_plans: bool = False
-    #: Cells of a coarse vector index (0: none), and how many a search reads (0: all, which is exact).
+    #: Cells of a coarse vector index (0: none), and how many a search reads (0: all, which is exact). With least_recall a
+    #: search reads as many as held that share of the ten nearest when the index was built and measured by brute force.
     vector_cells: int = 0
     probes: int = 0
+    least_recall: float | None = None
 
 
 class Engine:
@@ -181,7 +183,7 @@ class Engine:
                 return rows.select(*entity.key_columns, F.col(group.source.column).alias(group.name))
             return embedded_vectors(rows, entity, group, provider)
         manifest = check_vector(self.store.manifest(entity, "vector", group.name), group, provider)
-        index = probed(self.store.read(entity, "vector", group.name), manifest, wanted, self.options.probes)
+        index = probed(self.store.read(entity, "vector", group.name), manifest, wanted, self.options.probes or probes_for(manifest, self.options.least_recall))
         return index.join(rows.select(*entity.key_columns), list(entity.key_columns), "left_semi") if narrowed else index
 
     def _hybrid(self, entity: Entity, query: PagedQuery, base: DataFrame, offset: int, limit: int) -> Ranked:
@@ -265,8 +267,10 @@ class Engine:
         done = []
         for k, g in self._groups(entity, kind, groups):
             rows, facts = self._index_rows(entity, k, g, base)
-            if k == "vector" and self.options.vector_cells and len(cells := centroids(rows, g.name, self.options.vector_cells)):
-                rows, facts["centers"] = with_cells(rows, g.name, cells), cells.tolist()
+            if k == "vector" and self.options.vector_cells:
+                sample = sampled(rows, g.name)
+                if len(cells := centroids(sample, self.options.vector_cells)):
+                    rows, facts["centers"], facts["recall"] = with_cells(rows, g.name, cells), cells.tolist(), probe_recall(sample, cells)
             self.store.publish(entity, k, getattr(g, "name", "default"), rows, **facts)
             done.append(f"{k}:{getattr(g, 'name', 'default')}")
         return done

@@ -71,6 +71,7 @@ class Manifest:
     status: str = "active"
     key: list[str] = field(default_factory=list)
     centers: list[list[float]] | None = None
+    recall: list[float] | None = None
 
 
 class Files:
@@ -224,6 +225,13 @@ def probed(index: DataFrame, manifest: Manifest, query: Sequence[float], probes:
     return index.filter(F.col(CELL).isin([int(k) for k in near]))
 
 
+def probes_for(manifest: Manifest, least: float | None) -> int:
+    """The fewest cells that reached a recall when the index was measured; 0, which is all, without one."""
+    if least is None or not manifest.recall:
+        return 0
+    return next((k + 1 for k, r in enumerate(manifest.recall) if r >= least), 0)
+
+
 def vector_definition(path: SearchPath) -> str:
     return json.dumps([path.column, path.searchable.embedding_source, path.searchable.dims])
 

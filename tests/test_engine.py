@@ -200,11 +200,18 @@ def test_coarse_vector_index(spark, tmp_path):
     exact = Options(provider=HashEmbedding(16), vector_cells=8)
     engine = Engine(spark, frames({"v": table}), Registry(entity), exact, IndexStore(spark, str(tmp_path)))
     engine.reindex(entity)
-    near = Engine(spark, engine.tables, engine.registry, Options(provider=HashEmbedding(16), vector_cells=8, probes=4), engine.store)
-    wanted = [r["id"] for r in find(engine, entity, search="text 7", limit=10).items.collect()]
+    near = Engine(spark, engine.tables, engine.registry, Options(provider=HashEmbedding(16), vector_cells=8, probes=2), engine.store)
     got = find(near, entity, search="text 7", limit=10)
-    assert wanted[0] == 7 and got.items.first()["id"] == 7 and got.total < 300
-    assert len(set(wanted) & {r["id"] for r in got.items.collect()}) >= 5
+    assert got.items.first()["id"] == 7 and got.total < 300
+    # queries are the rows with an id divisible by 100, against brute force; the number of cells was chosen when the index was measured
+    sure = Engine(spark, engine.tables, engine.registry, Options(provider=HashEmbedding(16), vector_cells=8, least_recall=0.95), engine.store)
+    shares = []
+    for k in range(0, 300, 100):
+        wanted = {r["id"] for r in find(engine, entity, search=f"text {k}", limit=10).items.collect()}
+        shares.append(len(wanted & {r["id"] for r in find(sure, entity, search=f"text {k}", limit=10).items.collect()}) / 10)
+    assert sum(shares) / len(shares) >= 0.9
+    measured = engine.store.manifest(entity, "vector", "default").recall
+    assert len(measured) == 8 and measured == sorted(measured) and measured[-1] == 1.0
     engine.refresh(entity, table.filter("id < 3"))
     assert find(engine, entity, search="text 7").total == 300
 
