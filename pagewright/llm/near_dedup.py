@@ -42,10 +42,10 @@ BASE = 1.1
 #: The likelihood test runs so far under the threshold that it drops a pair at exactly 0.75 with p <= 8e-9 (counts of
 #: registers are multinomial; summed exactly), far less than the bands miss. Exact verification does the rest.
 LEAST_LIKELY = 0.58
-#: Rows of a block when sketches of one bucket are compared.
-BLOCK = 512
-#: A bucket of more members is split, each member going to FINER parts, at most LEVELS times.
-CROWDED, FINER, LEVELS = 1024, 5, 6
+#: A bucket of more members is split, each member going to FINER parts, at most LEVELS times; up to that it is one block.
+CROWDED, FINER, LEVELS = 2048, 5, 6
+#: What is crowded even then is cut into chunks of so many rows, which meet two by two.
+BLOCK = 1024
 
 _SPICE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -133,7 +133,7 @@ def _blockwise(batches, once: bool):
     """For each class of a block with an open partner in another component: a row with its partners.
 
     With once, a pair counts only in the first band that it shares, so it is looked at once; where buckets were split
-    it may not meet there, so it counts wherever it does. Partners are lists, at most BLOCK long; classes that are
+    it may not meet there, so it counts wherever it does. Partners are lists, at most CROWDED long; classes that are
     only a partner get a row with an empty list.
     """
     for block in grouped(batches, "block_key"):
@@ -273,45 +273,48 @@ def _mixed(held: DataFrame) -> DataFrame:
     return held.join(mixed, "bucket")
 
 
-def _split(crowd: DataFrame, placed: DataFrame, level: int) -> DataFrame:
-    """Crowded buckets by FINER keys of ROWS registers drawn by level, band and number: (rep, component, band, bucket)."""
+def _split(crowd: DataFrame, level: int) -> DataFrame:
+    """Crowded buckets by FINER keys of ROWS registers drawn by level, band and number."""
     place = lambda j, t: F.pmod(F.xxhash64(F.lit(level), F.col("band"), j, F.lit(t)), F.lit(BANDS * ROWS)).cast("int")
     key = lambda j: F.xxhash64("bucket", j, *[F.substring("sketch", place(j, t) + 1, F.lit(1)) for t in range(ROWS)])
-    finer = F.explode(F.transform(F.array(*map(F.lit, range(FINER))), key))
-    return crowd.select("rep", "component", "band", "bucket").join(placed.select("rep", "sketch"), "rep").select("rep", "component", "band", finer.alias("bucket"))
+    return crowd.drop("members").withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, range(FINER))), key)))
 
 
 def _block_members(shared: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
-    """(rep, band, block_key, side) of the blocks in which sketches are compared, and whether no bucket was split.
+    """(rep, component, n_shingles, sketch, band, block_key, side) of the blocks in which sketches are compared, and
+    whether no bucket was split.
 
-    shared has the members (rep, band, bucket, members, hub) without the hubs themselves. A part of m members is cut
-    into m / BLOCK chunks and each two chunks meet in one block, so a row is copied CROWDED / BLOCK times for each
-    part that it is in, and no task holds more than two chunks. Only what LEVELS splits leave crowded is copied more.
+    shared has the members (rep, band, bucket, members, hub) without the hubs themselves. A row is in one block for
+    each bucket or part of a bucket. Only what LEVELS splits leave crowded, of m members, is cut into m / BLOCK chunks
+    that meet two by two, so no task ever holds more than CROWDED rows of a block.
     """
     # a class is in at most BANDS buckets, so its component is joined once to the list of them
     lists = shared.filter("members > 2").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket")).alias("at"))
     held = lists.join(placed.select("rep", "component"), "rep").select("rep", "component", F.explode("at").alias("x")).select("rep", "component", "x.*")
-    now = settle(_mixed(held))
+    # what is left is little, and takes its sketches along from here
+    now = settle(_mixed(held).join(placed.select("rep", "n_shingles", "sketch"), "rep"))
     parts = [now.filter(F.col("members") <= CROWDED)]
     crowd = now.filter(F.col("members") > CROWDED)
     level = 0
     while level < LEVELS and not crowd.isEmpty():
-        now = settle(_mixed(_split(crowd, placed, level)))
+        now = settle(_mixed(_split(crowd, level)))
         parts.append(now.filter(F.col("members") <= CROWDED))
         crowd = now.filter(F.col("members") > CROWDED)
         level += 1
-    members = reduce(DataFrame.unionByName, [*parts, crowd])
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
+    columns = ["rep", "component", "n_shingles", "sketch", "band"]
+    small = reduce(DataFrame.unionByName, parts).select(*columns, F.col("bucket").alias("block_key"), F.lit(0).alias("side"))
+    if crowd.isEmpty():
+        return small, level == 0
+    crowd = crowd.withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(k >= F.col("own"), 0).otherwise(1).alias("side")))
-    members = members.withColumn("chunks", chunks).withColumn("own", own).select("rep", "band", "bucket", F.explode(cells).alias("cell"))
-    return members.select("rep", "band", F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side")), level == 0
+    large = crowd.select(*columns, "bucket", F.explode(cells).alias("cell")).select(*columns, F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side"))
+    return small.unionByName(large), False
 
 
 def _links_between(shared: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links across components among the members of a bucket besides its hub."""
     members, once = _block_members(shared, placed)
-    blocks = members.join(placed, "rep").repartition("block_key").sortWithinPartitions("block_key")
+    blocks = members.repartition("block_key").sortWithinPartitions("block_key")
     found = settle(blocks.select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(lambda batches: _blockwise(batches, once), "block_key long, rep long, component long, partners array<long>"))
     sets = _sets_of(texts, found.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     ready = found.join(sets, "rep").repartition("block_key").sortWithinPartitions("block_key")
