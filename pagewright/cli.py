@@ -10,10 +10,11 @@ import importlib
 import sys
 from collections.abc import Sequence
 
+from pagewright import cursor
 from pagewright.errors import UnknownEntity
 from pagewright.plans.engine import Engine
 from pagewright.sources.jobs import JobQueue
-from pagewright.streaming.maintenance import drain
+from pagewright.streaming.maintenance import drain, resumable
 
 
 def _load(spec: str) -> tuple[Engine, JobQueue]:
@@ -31,6 +32,8 @@ def main(argv: Sequence[str] | None = None) -> int:
         command.add_argument("--entity", required=name == "reindex")
         command.add_argument("--group", default=None)
         command.add_argument("--batch-size", type=int, default=5000)
+        command.add_argument("--delay", type=float, default=0.0, help="seconds between batches")
+        command.add_argument("--start-after", default=None, help="key after which to go on, without the queue; parts of a key are joined by |")
     args = parser.parse_args(argv)
     if not args.app:
         print("--app is required: it names the session, tables and entities", file=sys.stderr)
@@ -51,9 +54,16 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(error, file=sys.stderr)
         return 1
     names = [g.name for g in (*entity.text_groups, *entity.vector_groups) if args.group in (None, g.name)]
+    if args.start_after is not None:
+        base = engine.tables(entity.table)
+        kinds = [base.schema[c].dataType for c in entity.key_columns]
+        after = cursor.decode_keys(cursor.split_key(args.start_after, len(kinds)), kinds)
+        for name in names:
+            print(f"{name}: {resumable(engine, entity, name, args.batch_size, after, delay=args.delay)} row(s)")
+        return 0
     for name in names:
         queue.enqueue(entity.table, name, batch_size=args.batch_size)
-    print(f"{drain(engine, queue)} job(s) done")
+    print(f"{drain(engine, queue, args.delay)} job(s) done")
     return 0
 
 

@@ -345,6 +345,7 @@ def test_cli(spark, composed, tmp_path, capsys, monkeypatch):
     queue = JobQueue(spark, str(tmp_path / "jobs.json"))
     monkeypatch.setattr(cli, "_load", lambda spec: (engine, queue))
     assert cli.main(["reindex", "--app", "x:y", "--entity", "orders"]) == 0 and "1 job(s) done" in capsys.readouterr().out
+    assert cli.main(["reindex", "--app", "x:y", "--entity", "orders", "--start-after", "o1", "--batch-size", "7"]) == 0 and "default: 1 row(s)" in capsys.readouterr().out
     assert cli.main(["reindex", "--app", "x:y", "--entity", "nothing"]) == 1
     assert cli.main(["reindex", "--entity", "orders"]) == 2
     assert cli.main(["reindex-status", "--app", "x:y"]) == 0 and "done" in capsys.readouterr().out
