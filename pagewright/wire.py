@@ -65,7 +65,7 @@ class _Params:
 def _limit(given: int | None, limits: Limits, name: str = "limit") -> int:
     value = limits.default if given is None else given
     if value > limits.most:
-        raise QueryError(f"{name} may be {limits.most} at most, not {value}")
+        raise QueryError(f"{name}={value} is over the maximum of {limits.most}")
     if value < 0:
         raise QueryError(f"{name} must not be negative")
     return value
@@ -85,7 +85,7 @@ def cursor_query(source: str | Mapping[str, list[str]], limits: Limits = Limits(
     p = _Params(source)
     after, before = p.text("after"), p.text("before")
     if after and before:
-        raise QueryError("a page lies after a token or before one, not both")
+        raise QueryError("of after, before only one can say where a page lies")
     return PagedQuery(
         Mode.CURSOR, _limit(p.number("limit"), limits), p.text("q"), p.names("fields"), parse_sorts(p.all("sort")), parse_filters(p.all("filter")),
         cursor=after or before, backward=bool(before), match_info=bool(p.flag("match_info")),
