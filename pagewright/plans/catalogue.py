@@ -492,21 +492,24 @@ _add("store_changes", _store_changes, "select * from (values ('1', 'create', 'fu
 
 
 def _cursor_walk(spark: SparkSession, sf: str) -> DataFrame:
-    """Three pages forward and one back by tokens: each page's rows and flags."""
+    """Up to three pages forward, and from the last one back, by tokens: each page's rows and flags."""
     engine, out, token = _engine(spark, sf), [], None
     query = PagedQuery(Mode.CURSOR, 15, sort=(Sort("p_size", True),), filters=(_eq("p_brand", "Brand#2"),))
     for number in range(3):
         page = engine.search_cursor(PART, query.with_(cursor=token))
         out += [(number, k, r["p_partkey"], r["p_size"], page.has_more, page.has_prev) for k, r in enumerate(page.items)]
         token, back = page.next_cursor, page.prev_cursor
-    page = engine.search_cursor(PART, query.with_(cursor=back, backward=True))
-    out += [(3, k, r["p_partkey"], r["p_size"], page.has_more, page.has_prev) for k, r in enumerate(page.items)]
+        if not page.has_more:
+            break
+    if page.has_prev:
+        page = engine.search_cursor(PART, query.with_(cursor=back, backward=True))
+        out += [(3, k, r["p_partkey"], r["p_size"], page.has_more, page.has_prev) for k, r in enumerate(page.items)]
     return spark.createDataFrame(out, "page int, place int, p_partkey long, p_size int, has_more boolean, has_prev boolean")
 
 
-_add("cursor_walk", _cursor_walk, """with o as (select p_partkey, p_size, row_number() over (order by p_size desc nulls first, p_partkey desc) - 1 as k, count(*) over () as n from part where p_brand = 'Brand#2')
+_add("cursor_walk", _cursor_walk, """with o as (select p_partkey, p_size, row_number() over (order by p_size desc nulls first, p_partkey desc) - 1 as k, count(*) over () as n, least(3, (count(*) over () + 14) // 15) as m from part where p_brand = 'Brand#2')
 select (k // 15)::int as page, (k % 15)::int as place, p_partkey, p_size, n > (k // 15 + 1) * 15 as has_more, k >= 15 as has_prev from o where k < 45
-union all select 3, (k % 15)::int, p_partkey, p_size, n > 30, true from o where k >= 15 and k < 30 and n > 30""")
+union all select 3, (k % 15)::int, p_partkey, p_size, true, m > 2 from o where k // 15 = m - 2""")
 
 
 def _search_walk(spark: SparkSession, sf: str) -> DataFrame:
