@@ -10,19 +10,18 @@ Links are found in two rounds, and no group is ever expanded into all its pairs:
 1. in each bucket of each band every class meets one hub of the bucket (another in each band);
 2. in each bucket whose other members still lie in different components, sketches are compared in blocks; the
    classes with a partner that the likelihood leaves open bring their full sets to the block, which settles them.
-   A crowded bucket, as boilerplate makes it, is first split by FINER keys of ROWS further registers each, again and
-   again until its parts are small. A pair at 0.75 shares 12 buckets on average and one of the finer keys with
-   p = 0.75, so it is lost with p = 3e-5 if all its buckets are split once, and 4e-4 if all are split twice.
+   In a crowded bucket, as boilerplate makes it, a class meets only those larger ones that share one of its rarest
+   shingles (a prefix filter, which loses no pair at the threshold), or all of them in blocks where that is cheaper.
 
-Pairs are kept if the joint likelihood of both sketches, at the known set sizes, does not rule the threshold out,
-and are then confirmed on the full sets. Connected components of the confirmed links are the result.
+Pairs that share a band are kept if the joint likelihood of both sketches, at the known set sizes, does not rule the
+threshold out, and are then confirmed on the full sets. So whether a pair is linked depends on its two sets alone, not
+on how many others share its buckets. Connected components of the confirmed links are the result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +41,13 @@ BASE = 1.1
 #: The likelihood test runs so far under the threshold that it drops a pair at exactly 0.75 with p <= 8e-9 (counts of
 #: registers are multinomial; summed exactly), far less than the bands miss. Exact verification does the rest.
 LEAST_LIKELY = 0.58
-#: A bucket of more members is split, each member going to FINER parts, at most LEVELS times; up to that it is one block.
-CROWDED, FINER, LEVELS = 2048, 5, 6
-#: What is crowded even then is cut into chunks of so many rows, which meet two by two.
-BLOCK = 1024
+#: A bucket of up to so many members is one block. In a larger one a class goes by its rarest shingles, or by blocks of
+#: chunks of BLOCK rows if pairs by shingles, at PAIR_COST comparisons of sketches each, would take longer. Both are exact.
+CROWDED, BLOCK, PAIR_COST = 2048, 1024, 16
+#: Shingles are ordered by how many sets have one of the same SLOTS; any order is right, this one makes few pairs.
+SLOTS = 1 << 18
+#: Nothing is split by levels any more; a test of before still sets this.
+LEVELS = 0
 
 _SPICE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -120,48 +122,87 @@ def likely(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.nd
 
 
 def _plausible(batches):
-    """Of pairs with both sketches, those that the likelihood leaves open."""
+    """Of pairs with both sketches, those that share a band and that the likelihood leaves open."""
     for batch in batches:
         if not batch.num_rows:
             continue
         one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in ("sketch_a", "sketch_b"))
         keep = likely(one, other, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        keep &= (one == other).reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _blockwise(batches, once: bool):
+def _blockwise(batches):
     """For each class of a block with an open partner in another component: a row with its partners.
 
-    With once, a pair counts only in the first band that it shares, so it is looked at once; where buckets were split
-    it may not meet there, so it counts wherever it does. Partners are lists, at most CROWDED long; classes that are
-    only a partner get a row with an empty list.
+    A pair counts only in the first band that it shares, so it is looked at once. Where a block has two sides, classes of
+    side 0 meet the larger ones of side 1 (by set size, then by rep). Partners are lists, at most about CROWDED long;
+    classes that are only a partner get a row with an empty list.
     """
     for block in grouped(batches, "block_key"):
         rep, comp, n, band, side = (block.column(k).to_numpy() for k in ("rep", "component", "n_shingles", "band", "side"))
         regs = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(len(rep), BANDS, ROWS)
         two = bool((side != side[0]).any())
-        left = np.flatnonzero(side == 0) if two else np.arange(len(rep))
+        left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if two else left
         partners: dict[int, list[int]] = {}
+        of = dict(zip(rep.tolist(), comp.tolist(), strict=True))
         for i in left:
-            js = right[(comp[right] != comp[i]) & ((rep[right] != rep[i]) if two else (rep[right] > rep[i]))]
-            js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+            js = right[(comp[right] != comp[i]) & ((n[right] > n[i]) | ((n[right] == n[i]) & (rep[right] > rep[i])))]
+            js = js[100 * n[i] >= PERCENT * n[js]]
             if not len(js):
                 continue
             agree = (regs[js] == regs[i]).all(axis=2)
-            js = js[agree[:, band[i]] & ((agree.argmax(axis=1) == band[i]) if once else (rep[js] != rep[i]))]
+            js = js[agree[:, band[i]] & (agree.argmax(axis=1) == band[i])]
             if not len(js):
                 continue
             flat = regs[js].reshape(len(js), -1)
             js = js[likely(flat, np.broadcast_to(regs[i].reshape(-1), flat.shape), n[js], np.full(len(js), n[i]))]
             if len(js):
-                partners.setdefault(i, []).extend(rep[js].tolist())
-                for j in js:
-                    partners.setdefault(j, [])
+                partners.setdefault(int(rep[i]), []).extend(rep[js].tolist())
+                for r in rep[js].tolist():
+                    partners.setdefault(r, [])
         if partners:
             rows = sorted(partners)
-            keys = block.column("block_key").to_numpy()[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[rows]), pa.array(comp[rows]), pa.array([partners[k] for k in rows], pa.list_(pa.int64()))], ["block_key", "rep", "component", "partners"])
+            keys = np.full(len(rows), block.column("block_key")[0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows, pa.int64()), pa.array([of[r] for r in rows], pa.int64()), pa.array([partners[r] for r in rows], pa.list_(pa.int64()))], ["block_key", "rep", "component", "partners"])
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches):
+    """How many sets have a shingle of each slot; one of several in the same slot counts as several."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for s in shingle_sets(*texts_of(batch.column(1))):
+            np.add.at(counts, _slot(s), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "sets"])
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set that meet those of a set as large or smaller, and how many of them meet a larger one.
+
+    Two sets at the threshold share at least PERCENT in 100 of the larger one, and at least 2 * PERCENT in 100 + PERCENT of
+    the smaller one. The first shingle that they share, in any order of all shingles, has the others after it in both. So
+    it is among the first n - least + 1 of each, least being what the set must share at least.
+    """
+    n = len(shingles)
+    order = np.argsort(counts[_slot(shingles)], kind="stable")[: n + 1 + -PERCENT * n // 100]
+    return shingles[order], n + 1 + -2 * PERCENT * n // (100 + PERCENT)
+
+
+def _prefixes(batches, counts: np.ndarray):
+    for batch in batches:
+        n, own, tokens = [], [], []
+        for s in shingle_sets(*texts_of(batch.column(1))):
+            first, k = rarest(s, counts) if len(s) else (s, 0)
+            n.append(len(s))
+            own.append(k)
+            tokens.append(first.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["rep", "n", "own", "tokens"])
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -183,7 +224,7 @@ def _block_links(batches):
         for r, x in zip(reps, block.column("shingles"), strict=True):
             sets.setdefault(r, []).append(np.frombuffer(x.as_buffer(), np.uint64))  # several, if a doc_id has several texts
         a, b = [], []
-        for r, partners in dict(zip(reps, block.column("partners").to_pylist(), strict=True)).items():
+        for r, partners in dict(zip(reps, block.column("partners").to_pylist(), strict=True)).items():  # equal in all rows of a rep
             reached = set()
             for q in partners:
                 if q in sets and comps[q] not in reached and any(_linked(x, y) for x in sets[r] for y in sets[q]):
@@ -207,6 +248,12 @@ def _sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return settle(documents.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"))
 
 
+def _open(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sketches leave open."""
+    sized = {k: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b")}
+    return settle(pairs.join(sized["a"], "a").join(sized["b"], "b").mapInArrow(_plausible, "a long, b long").distinct())
+
+
 def _confirm(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets meet the threshold."""
     sets = _sets_of(documents, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
@@ -239,8 +286,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     hubs = banded.groupBy("bucket").agg(F.min(order).alias("first"), F.count("*").alias("members")).filter("members > 1").select("bucket", "members", F.col("first.hub").alias("hub"))
     shared = settle(banded.join(hubs, "bucket").filter("rep != hub"))
     pairs = shared.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    sized = {k: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b")}
-    pairs = settle(pairs.join(sized["a"], "a").join(sized["b"], "b").mapInArrow(_plausible, "a long, b long").distinct())
+    pairs = _open(pairs, classes)
     links = settle(_confirm(texts, pairs).unionByName(_same_document(rows, classes)))
 
     joined = connected_components(links, "a", "b")
@@ -273,52 +319,76 @@ def _mixed(held: DataFrame) -> DataFrame:
     return held.join(mixed, "bucket")
 
 
-def _split(crowd: DataFrame, level: int) -> DataFrame:
-    """Crowded buckets by FINER keys of ROWS registers drawn by level, band and number."""
-    place = lambda j, t: F.pmod(F.xxhash64(F.lit(level), F.col("band"), j, F.lit(t)), F.lit(BANDS * ROWS)).cast("int")
-    key = lambda j: F.xxhash64("bucket", j, *[F.substring("sketch", place(j, t) + 1, F.lit(1)) for t in range(ROWS)])
-    return crowd.drop("members").withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, range(FINER))), key)))
-
-
-def _block_members(shared: DataFrame, placed: DataFrame) -> tuple[DataFrame, bool]:
-    """(rep, component, n_shingles, sketch, band, block_key, side) of the blocks in which sketches are compared, and
-    whether no bucket was split.
+def _held(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """(rep, component, n_shingles, sketch, band, bucket, members) of the buckets whose members lie in several components.
 
-    shared has the members (rep, band, bucket, members, hub) without the hubs themselves. A row is in one block for
-    each bucket or part of a bucket. Only what LEVELS splits leave crowded, of m members, is cut into m / BLOCK chunks
-    that meet two by two, so no task ever holds more than CROWDED rows of a block.
+    shared has the members (rep, band, bucket, members, hub) without the hubs themselves.
     """
     # a class is in at most BANDS buckets, so its component is joined once to the list of them
     lists = shared.filter("members > 2").groupBy("rep").agg(F.collect_list(F.struct("band", "bucket")).alias("at"))
     held = lists.join(placed.select("rep", "component"), "rep").select("rep", "component", F.explode("at").alias("x")).select("rep", "component", "x.*")
     # what is left is little, and takes its sketches along from here
-    now = settle(_mixed(held).join(placed.select("rep", "n_shingles", "sketch"), "rep"))
-    parts = [now.filter(F.col("members") <= CROWDED)]
-    crowd = now.filter(F.col("members") > CROWDED)
-    level = 0
-    while level < LEVELS and not crowd.isEmpty():
-        now = settle(_mixed(_split(crowd, level)))
-        parts.append(now.filter(F.col("members") <= CROWDED))
-        crowd = now.filter(F.col("members") > CROWDED)
-        level += 1
+    return settle(_mixed(held).join(placed.select("rep", "n_shingles", "sketch"), "rep"))
+
+
+def _by_shingles(crowd: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that share one of their rarest shingles, and the classes (rep) that were left out.
+
+    A class looks for those larger than itself (by set size, then by rep), and is left out if that makes more pairs than its
+    crowded buckets are worth. Every class is found by the smaller ones that are not left out.
+    """
+    weighed = settle(crowd.groupBy("rep").agg(F.min("component").alias("component"), F.sum("members").alias("met")))
+    sets = texts.mapInArrow(_slot_counts, "slot long, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[sets.column("slot").to_numpy()] = sets.column("sets").to_numpy()
+    lists = texts.join(weighed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    lists = settle(lists.mapInArrow(lambda batches: _prefixes(batches, counts), "rep long, n long, own long, tokens array<long>"))
+    each = lists.join(weighed.select("rep", "component"), "rep").select("rep", "component", "n", "own", F.posexplode("tokens").alias("at", "token"))
+    each = each.select("rep", "component", "n", "token", (F.col("at") < F.col("own")).alias("own"))
+    mixed = each.groupBy("token").agg(F.count("*").alias("pairs"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("any")).filter("lo != hi and any")
+    each = settle(each.join(mixed.select("token", "pairs"), "token"))
+    cost = each.filter("own").groupBy("rep").agg(F.sum("pairs").alias("pairs"))
+    dear = settle(cost.join(weighed, "rep").filter(F.col("pairs") * PAIR_COST > F.col("met")).select("rep"))
+    one = each.filter("own").join(dear, "rep", "left_anti").select("token", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of_x"))
+    larger = F.expr(f"of_x != component and (n_x < n or n_x = n and x < rep) and 100 * n_x >= {PERCENT} * n")
+    other = each.select(F.col("token").alias("same"), "rep", "n", "component")
+    pairs = one.join(other, (F.col("token") == F.col("same")) & larger).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+    return pairs.distinct(), dear
+
+
+def _block_members(held: DataFrame, dear: DataFrame | None) -> tuple[DataFrame, bool]:
+    """(rep, component, n_shingles, sketch, band, block_key, side) of the blocks in which sketches are compared, and
+    whether no bucket was crowded.
+
+    A row is in the block of each of its buckets that is not crowded. In a crowded one, the k of m members that are in dear
+    (rep) are cut into k / BLOCK chunks, all members into m / BLOCK; each chunk of the ones meets each of the others.
+    """
     columns = ["rep", "component", "n_shingles", "sketch", "band"]
-    small = reduce(DataFrame.unionByName, parts).select(*columns, F.col("bucket").alias("block_key"), F.lit(0).alias("side"))
-    if crowd.isEmpty():
-        return small, level == 0
-    crowd = crowd.withColumn("chunks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), F.when(k >= F.col("own"), 0).otherwise(1).alias("side")))
-    large = crowd.select(*columns, "bucket", F.explode(cells).alias("cell")).select(*columns, F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side"))
+    small = held.filter(F.col("members") <= CROWDED).select(*columns, F.col("bucket").alias("block_key"), F.lit(0).alias("side"))
+    if dear is None:
+        return small, True
+    crowd = held.filter(F.col("members") > CROWDED).join(dear.select("rep", F.lit(True).alias("dear")), "rep", "left")
+    crowd = crowd.join(crowd.groupBy("bucket").agg(F.count("dear").alias("k")).filter("k > 0"), "bucket")
+    chunks = lambda k: F.ceil(F.col(k) / BLOCK).cast("int")
+    drawn = lambda k, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), chunks(k)).cast("int")
+    looks = F.transform(F.sequence(F.lit(0), chunks("members") - 1), lambda j: F.struct(drawn("k", 7).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    found = F.transform(F.sequence(F.lit(0), chunks("k") - 1), lambda i: F.struct(i.alias("i"), drawn("members", 8).alias("j"), F.lit(1).alias("side")))
+    cells = F.explode(F.when(F.col("dear"), F.concat(looks, found)).otherwise(found)).alias("cell")
+    large = crowd.select(*columns, "bucket", cells).select(*columns, F.xxhash64("bucket", "cell.i", "cell.j").alias("block_key"), F.col("cell.side").alias("side"))
     return small.unionByName(large), False
 
 
 def _links_between(shared: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links across components among the members of a bucket besides its hub."""
-    members, once = _block_members(shared, placed)
-    blocks = members.repartition("block_key").sortWithinPartitions("block_key")
-    found = settle(blocks.select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(lambda batches: _blockwise(batches, once), "block_key long, rep long, component long, partners array<long>"))
+    held = _held(shared, placed)
+    crowd = held.filter(F.col("members") > CROWDED)
+    pairs, dear = (None, None) if crowd.isEmpty() else _by_shingles(crowd, texts)
+    blocks = _block_members(held, dear)[0].repartition("block_key").sortWithinPartitions("block_key")
+    found = settle(blocks.select("block_key", "rep", "component", "n_shingles", "band", "side", "sketch").mapInArrow(_blockwise, "block_key long, rep long, component long, partners array<long>"))
     sets = _sets_of(texts, found.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     ready = found.join(sets, "rep").repartition("block_key").sortWithinPartitions("block_key")
-    return ready.select("block_key", "rep", "component", "partners", "shingles").mapInArrow(_block_links, "a long, b long").distinct()
+    links = ready.select("block_key", "rep", "component", "partners", "shingles").mapInArrow(_block_links, "a long, b long").distinct()
+    return links if pairs is None else links.unionByName(_confirm(texts, _open(pairs, placed)))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

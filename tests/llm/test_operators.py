@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,70 @@ def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, levels):
     assert sum(got[2 * k + 1] == 2 * k for k in range(n)) >= 0.99 * n and all(got[2 * k] == 2 * k for k in range(n))
 
 
+def boilerplate(pairs, seed, few=14):
+    """Pairs of texts at a likeness of 0.75 to 0.8 with much boilerplate, and as many of few words in all."""
+    rng = random.Random(seed)
+    boiler, rows = " ".join(f"b{k}" for k in range(40)), []
+    for k in range(pairs):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(35)]
+        rows.append((2 * k, f"{boiler} {' '.join(own)}"))
+        own[rng.randrange(6, 14)], own[rng.randrange(22, 30)] = "x", "y"
+        rows.append((2 * k + 1, f"{boiler} {' '.join(own)}"))
+    for k in range(2 * pairs, 3 * pairs):
+        rows.append((k, " ".join(f"r{rng.randrange(3)}" for _ in range(rng.randrange(few, 4 * few)))))
+    return rows
+
+
+@pytest.mark.parametrize("cost", [0, 16, 10**9])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, cost):
+    """Pairs that share one bucket only are found however many others are in it, by shingles as in blocks."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PAIR_COST", cost, raising=False)
+    rows = boilerplate(400, 3)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {k: next(near_dedup.shingle_sets(*near_dedup.texts_of(pa.array([t])))) for k, t in rows}
+    sketches = {k: near_dedup.sketch(x) for k, x in sets.items()}
+    placed = spark.createDataFrame([(k, len(x), bytearray(sketches[k]), k) for k, x in sets.items()], "rep long, n_shingles long, sketch binary, component long")
+    first = near_dedup._bands(placed).filter("band = 0").withColumn("members", F.lit(3)).withColumn("hub", F.lit(-1).cast("long"))
+    got = {(min(r), max(r)) for r in near_dedup._links_between(first, placed, texts).collect()}
+    buckets = collections.defaultdict(list)
+    for k, x in sketches.items():
+        buckets[x[: near_dedup.ROWS]].append(k)
+    want = {(a, b) for held in buckets.values() for a in held for b in held if a < b and near_dedup._linked(sets[a], sets[b])}
+    assert len(want) > 80 and want <= got and all(near_dedup._linked(sets[a], sets[b]) for a, b in got)
+
+
+def test_links_do_not_depend_on_the_size_of_buckets(spark, monkeypatch):
+    rows = boilerplate(250, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components({k: shingles(t) for k, t in rows})
+    for crowded, cost in ((2048, 16), (1, 16), (8, 0), (8, 10**9)):
+        monkeypatch.setattr(near_dedup, "CROWDED", crowded)
+        monkeypatch.setattr(near_dedup, "BLOCK", max(1, crowded // 2))
+        monkeypatch.setattr(near_dedup, "PAIR_COST", cost, raising=False)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want, (crowded, cost)
+
+
+def test_rarest_shingles_meet():
+    """Sets at the threshold share one of their rarest shingles, for every size and likeness, in whatever order."""
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(4_000):
+        n, m = sorted(rng.integers(1, 60, 2))
+        common = -(-near_dedup.PERCENT * (n + m) // (100 + near_dedup.PERCENT))
+        if common > n:
+            continue
+        x = rng.integers(0, 2**64, n + m - common, np.uint64)
+        one, other = np.sort(x[:n]), np.sort(x[n - common :])
+        assert near_dedup._linked(one, other) and len(other) == m
+        counts = rng.integers(0, 3, near_dedup.SLOTS)
+        (first, k), (second, _) = near_dedup.rarest(one, counts), near_dedup.rarest(other, counts)
+        assert set(first[:k].tolist()) & set(second.tolist())
+        met += 1
+    assert met > 900
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     got = collections.defaultdict(list)
